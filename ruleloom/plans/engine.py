@@ -12,6 +12,7 @@ and, once at the end, the audit structure from the codes of all steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -71,8 +72,13 @@ def evaluate(
     *,
     only_rows: str | None = None,
     prefix: str = "__rl",
+    observe: Callable[[StepLowering], str] | None = None,
 ) -> Evaluated:
-    """Run every step; codes stay in extra columns, substitutes are applied."""
+    """Run every step; codes stay in extra columns, substitutes are applied.
+
+    ``observe`` may give SQL text evaluated in each step on the values before
+    its substitutes; the result stays in the column ``observed`` of the step.
+    """
     columns = df.columns
     gate = gate_sql(df.schema, only_rows)
     frame, gate_ref = df, None
@@ -84,11 +90,11 @@ def evaluate(
     for number, step in enumerate(rules.steps, 1):
         lowering = StepLowering(step, schema, options, f"{prefix}{number}_")
         steps.append(lowering)
-        frame = _run_step(frame, lowering, gate_ref)
+        frame = _run_step(frame, lowering, gate_ref, observe)
     return Evaluated(frame, columns, steps, gate_ref)
 
 
-def _run_step(frame: DataFrame, lowering: StepLowering, gate: str | None) -> DataFrame:
+def _run_step(frame: DataFrame, lowering: StepLowering, gate: str | None, observe) -> DataFrame:
     record, prefix = lowering.record, lowering.prefix
 
     def gated(sql: str):
@@ -105,6 +111,8 @@ def _run_step(frame: DataFrame, lowering: StepLowering, gate: str | None) -> Dat
     if record.groups:
         codes = [gated(g.codes()).alias(f"{prefix}s{n}") for n, g in enumerate(record.groups)]
         frame = frame.select("*", *codes)
+    if observe:
+        frame = frame.select("*", gated(observe(lowering)).alias(prefix + "observed"))
     if changes or helpers:
         kept = [c for c in frame.columns if c not in helpers]
         types = {f.name: f.dataType for f in frame.schema.fields}

@@ -32,6 +32,7 @@ class Options:
     mode: str = "strict"  # strict | permissive
     nested_scope: str = "record"  # record | enclosing
     qualify_names: bool = False
+    any_type: bool = False  # a condition of another type than boolean counts as no result
 
     def __post_init__(self):
         for name, allowed in (("mode", ("strict", "permissive")), ("nested_scope", ("record", "enclosing"))):
@@ -114,9 +115,13 @@ class Decision:
 
 
 @dataclass
-class TestSetResult:
+class SetResult:
+    """A test set and the SQL text of its result."""
+
+    rule: TestSet
     name: str
     path: tuple[str, ...]
+    container: Place
     sql: str
 
 
@@ -127,7 +132,7 @@ class Record:
         self.depth, self.prefix, self.codes_ref, self.place = depth, prefix, codes_ref, place
         self.groups: list[TestGroup | ElementGroup] = []
         self.decisions: list[list[Decision]] = []
-        self.sets: list[TestSetResult] = []
+        self.sets: list[SetResult] = []
         self.tops: list[str] = []  # result code of every outermost test or set
 
     def _new_ref(self) -> str:
@@ -219,7 +224,10 @@ class StepLowering:
     def _condition(self, rule: SingleTest, container: Place) -> str | None:
         if rule.condition is None:
             return None
-        return self._formula(rule.condition, container, rule.name)
+        condition = self._formula(rule.condition, container, rule.name)
+        if self.options.any_type:
+            condition = f"CASE WHEN typeof({condition}) = 'boolean' THEN CAST(CAST({condition} AS STRING) AS BOOLEAN) END"
+        return condition
 
     def _truth(self, rule: SingleTest, condition: str) -> str:
         if self.options.permissive:
@@ -398,7 +406,7 @@ class StepLowering:
         else:
             result = greatest(flat)
         shown = name if self.options.qualify_names else rule.name
-        record.sets.append(TestSetResult(shown, container.path_of(rule.field), result))
+        record.sets.append(SetResult(rule, shown, container.path_of(rule.field), container, result))
         return [result]
 
     def _code_from_stop(self, mode: str, child: SingleTest, stop: str, number: int) -> str | None:
