@@ -115,10 +115,7 @@ def _run_step(frame: DataFrame, lowering: StepLowering, gate: str | None, observ
         frame = frame.select("*", gated(observe(lowering)).alias(prefix + "observed"))
     if changes or helpers:
         kept = [c for c in frame.columns if c not in helpers]
-        types = {f.name: f.dataType for f in frame.schema.fields}
-        frame = frame.select(
-            [F.expr(changes[c]).cast(types[c]).alias(c) if c in changes else F.col(quote(c)) for c in kept]
-        )
+        frame = frame.select([F.expr(changes[c]).alias(c) if c in changes else F.col(quote(c)) for c in kept])
     return frame
 
 
