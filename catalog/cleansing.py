@@ -123,4 +123,4 @@ def substitute_in_array(spark, folder):
         ArrayOf("lines", [SingleTest("line", "not empty", "{size} > 0", "WARN", "concat('(empty, ', {parent.parent.lang}, ')')")]),
     )
     done = validate(lines_of_documents(spark, folder), rules, details="none")
-    return done.select("doc_id", F.posexplode("lines").alias("n", "l")).select("doc_id", "n", "l.line", "l.size")
+    return done.select("doc_id", F.posexplode_outer("lines").alias("n", "l")).select("doc_id", "n", "l.line", "l.size")

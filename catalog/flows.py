@@ -43,7 +43,7 @@ def mixed_topic(spark, folder):
 
 def _routed(spark, folder):
     routes = {"orders": Route(ORDER_RULES, ORDER_TYPE), "customer": Route(CUSTOMER_RULES, CUSTOMER_TYPE)}
-    return validate_routed(mixed_topic(spark, folder), routes)
+    return validate_routed(mixed_topic(spark, folder), routes, flag="routed")
 
 
 @query(
@@ -73,7 +73,7 @@ def route_by_schema(spark, folder):
 UNION ALL SELECT o_orderkey, 'orders', NULL FROM orders WHERE o_orderkey % 10 = 0""",
 )
 def route_passthrough(spark, folder):
-    return _routed(spark, folder).where("payload IS NULL OR schema_name = 'supplier'")
+    return _routed(spark, folder).where("NOT routed").drop("routed")
 
 
 @query(

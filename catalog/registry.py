@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.reports import audit_rows, verdict
+from ruleloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(function):
         assert name not in QUERIES, name
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, folder: function(tune(spark), folder)
         if sql is not None:
             ORACLES[name] = sql
         return function

@@ -60,9 +60,9 @@ def trace(
     every = f"concat({', '.join(traces)})" if len(traces) > 1 else traces[0]
     rows = done.frame.select(
         *[F.col(f"__key_{k}").alias(k) for k in keys],
-        F.explode(F.expr(f"CAST({every} AS ARRAY<{ddl(TRACE_TYPE)}>)")).alias("__row"),
+        F.explode_outer(F.expr(f"CAST({every} AS ARRAY<{ddl(TRACE_TYPE)}>)")).alias("__row"),
     )
-    return rows.select(*[F.col(quote(k)) for k in keys], "__row.*")
+    return rows.where("__row IS NOT NULL").select(*[F.col(quote(k)) for k in keys], "__row.*")
 
 
 class _StepTrace:

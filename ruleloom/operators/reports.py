@@ -55,13 +55,13 @@ def _code_counts(df: DataFrame, rules: RuleFile, by: list[str], options: dict) -
             names += [(len(names) + n, t.name, _field(t.path)) for n, t in enumerate(group.tests)]
         codes = groups[0].ref if len(groups) == 1 else f"concat({', '.join(g.ref for g in groups)})"
         silent = [n for n, t in enumerate(t for g in groups for t in g.tests) if t.silent]
-        exploded = done.frame.select(*keys, F.posexplode(F.expr(codes)).alias("rule_id", "code"))
+        exploded = done.frame.select(*keys, F.posexplode_outer(F.expr(codes)).alias("rule_id", "code"))
         if silent:
             exploded = exploded.where(~F.col("rule_id").isin(silent))
     else:
         parts = [p for record in done.records for p in _coded(record, names)]
         every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})" if parts else "array()"
-        pairs = F.explode(F.expr(f"CAST({every} AS ARRAY<STRUCT<rule_id: INT, code: TINYINT>>)"))
+        pairs = F.explode_outer(F.expr(f"CAST({every} AS ARRAY<STRUCT<rule_id: INT, code: TINYINT>>)"))
         exploded = done.frame.select(*keys, pairs.alias("__c")).select(*keys, "__c.rule_id", "__c.code")
     counted = (
         exploded.where("code IS NOT NULL")
@@ -99,15 +99,17 @@ def _field(path: tuple[str, ...]) -> str | None:
 
 def audit_rows(df: DataFrame, keys: list[str], ordinal: str | None = None) -> DataFrame:
     """The stored audit as flat rows: keys, rule, result, text, quality."""
+    # A plain explode lets Spark filter on the size of the array first and so
+    # evaluate every rule twice; the outer form with a filter behind it does not.
     details = F.col(f"{quote(AUDIT)}.{quote(DETAILS)}")
     key_columns = [F.col(quote(k)) for k in keys]
     if ordinal:
-        rows = df.select(*key_columns, F.posexplode(details).alias("__n", "__d"))
+        rows = df.select(*key_columns, F.posexplode_outer(details).alias("__n", "__d"))
         extra = [(F.col("__n") + 1).alias(ordinal)]
     else:
-        rows = df.select(*key_columns, F.explode(details).alias("__d"))
+        rows = df.select(*key_columns, F.explode_outer(details).alias("__d"))
         extra = []
-    return rows.select(
+    return rows.where(F.col("__d").isNotNull()).select(
         *key_columns,
         *extra,
         F.col("__d").getField(DETAIL_NAME).alias("rule"),

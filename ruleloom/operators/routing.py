@@ -67,15 +67,21 @@ def validate_routed(
     schema_column: str = "schema_name",
     payload: str = "payload",
     codec=None,
+    flag: str | None = None,
     **options,
 ) -> DataFrame:
     """Validate records by the rules of their schema; same columns out as in.
 
-    The payload is JSON text unless ``codec`` says otherwise.
+    The payload is JSON text unless ``codec`` says otherwise.  ``flag`` names a
+    further column telling whether rules applied to the record.
 
     ``options`` are those of ``validate``.
     """
     result = df
+    if flag:
+        with_rules = [n for n, r in routes.items() if r.rules.steps]
+        applied = F.col(quote(schema_column)).isin(with_rules) & F.col(quote(payload)).isNotNull()
+        result = df.select("*", F.coalesce(applied, F.lit(False)).alias(flag))
     for number, names in enumerate(_passes(routes)):
         some = {n: routes[n] for n in names}
         result = _one_pass(result, some, schema_column, payload, codec or JsonRecords(), f"__rt{number}", options)

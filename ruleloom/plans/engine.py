@@ -171,7 +171,8 @@ def validate(
     if done.gate:
         kept = f"CAST({quote(AUDIT)} AS {audit_type})" if has_audit else f"CAST(NULL AS {audit_type})"
         audit = f"CASE WHEN {done.gate} THEN {audit} ELSE {kept} END"
-    audit_column = F.expr(audit).cast(AUDIT_TYPE).alias(AUDIT)
+    # no cast around it: whoever reads the verdict alone then never builds the details
+    audit_column = F.expr(audit).alias(AUDIT)
 
     selected = [audit_column if c == AUDIT else F.col(quote(c)) for c in done.columns]
     if not has_audit:
