@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import ArrayOf, Generic, RuleFile, SingleTest, TestSet, validate
 from ruleloom.functions import formulas as fx
+from ruleloom.sources.records import spread
 
 from .cleansing import lines_of_documents
 from .registry import detail, flat, query, table, test, union
@@ -148,7 +149,7 @@ GROUP BY conv_id, turn, result""",
 )
 def rule_array_in_array(spark, folder):
     nested = "transform(split(text, '\\n'), l -> named_struct('words', transform(split(l, ' '), w -> named_struct('word', w))))"
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.expr(nested).alias("lines"))
+    turns = spread(table(spark, folder, "conversations")).select("conv_id", "turn", "role", F.expr(nested).alias("lines"))
     short = SingleTest("word", "short word", "length({word}) <= 8 OR {parent.parent.parent.parent.role} = 'user'", "WARN")
     rules = RuleFile.of("conversations", ArrayOf("lines", [ArrayOf("words", [short])]))
     # the details of one record stay inside it, so they are counted without a shuffle

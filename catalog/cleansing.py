@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ruleloom import ArrayOf, RecordOf, RuleFile, SingleTest, Step, validate
+from ruleloom.sources.records import spread
 
 from .registry import query, table, verdicts
 from .singles import orders_with_shipping
@@ -106,7 +107,7 @@ def substitute_nested_record(spark, folder):
 def lines_of_documents(spark, folder):
     """Documents with their whole text as an array of line records."""
     lines = "transform(split(text, '\\n'), x -> named_struct('line', x, 'size', length(x)))"
-    return table(spark, folder, "documents").select("doc_id", "lang", "source", F.expr(lines).alias("lines"))
+    return spread(table(spark, folder, "documents")).select("doc_id", "lang", "source", F.expr(lines).alias("lines"))
 
 
 @query(

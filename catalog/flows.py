@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ruleloom import RuleFile, SingleTest, validate
 from ruleloom.operators.routing import Route, validate_routed
-from ruleloom.sources.records import align, frame, from_json, split_frame, to_json
+from ruleloom.sources.records import align, frame, from_json, split_frame, spread, to_json
 from ruleloom.streaming.jobs import finish, read_files, with_quarantine, work_folder, write_files
 from ruleloom.streaming.metrics import StreamStatus, observe_verdicts
 
@@ -31,7 +31,7 @@ def mixed_topic(spark, folder):
     """Orders, customers and suppliers as JSON records of one topic; some have no value."""
 
     def records(name, key, columns, dead="false"):
-        df = table(spark, folder, name)
+        df = spread(table(spark, folder, name))
         payload = F.when(~F.expr(dead), F.to_json(F.struct(*columns)))
         return df.select(F.col(key).alias("key"), F.lit(name).alias("schema_name"), payload.alias("payload"))
 

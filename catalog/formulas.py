@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import RuleFile, SingleTest, validate
 from ruleloom.functions import formulas as fx
+from ruleloom.sources.records import spread
 
 from .registry import flat, query, table, test, union
 
@@ -24,7 +25,7 @@ def group(name: str, source: str, key: str, field: str, cases: list[tuple[str, s
 
     @query(name, union(*[test(relation, key, rule, condition, field, "WARN") for rule, _, condition in cases]))
     def run(spark, folder):
-        df = table(spark, folder, source)
+        df = spread(table(spark, folder, source)) if source == "documents" else table(spark, folder, source)
         df = df.select("*", *[F.expr(formula).alias(column) for column, (formula, _) in given.items()])
         return flat(validate(df, rules), key)
 

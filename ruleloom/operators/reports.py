@@ -1,8 +1,7 @@
 """Data-quality figures, from the codes of a run or from stored audits.
 
-The figures from codes never build detail rows: codes are small integers, one
-partial aggregate per task leaves a handful of rows per rule to shuffle, and the
-names are attached to the aggregated rows.
+The figures from codes never build detail rows: codes are small integers, counted
+within each task before anything is shuffled, and names join the counts.
 """
 
 from __future__ import annotations
@@ -13,62 +12,89 @@ from pyspark.sql import functions as F
 from ..model import RuleFile
 from ..plans.audit import AUDIT, DETAIL_NAME, DETAIL_QUALITY, DETAIL_TEXT, DETAILS, RESULT, quality_sql, result_sql
 from ..plans.engine import evaluate
-from ..plans.lower import Options, Record, TestGroup
-from ..plans.sqltext import quote, struct
+from ..plans.lower import ERROR, PASS, Options, Record, TestGroup
+from ..plans.sqltext import array, literal, quote, struct
 
 
 def rule_summary(df: DataFrame, rules: RuleFile, by: list[str] | None = None, **options) -> DataFrame:
     """Executed tests per rule and result: ``rule, result, tests``."""
-    counted, names = _code_counts(df, rules, by or [], options)
-    named = counted.join(F.broadcast(names), "rule_id")
-    result = F.expr(result_sql("code")).alias("result")
     keys = [F.col(quote(b)) for b in by or []]
-    return named.groupBy(*keys, "rule", result).agg(F.sum("tests").alias("tests"))
+    result = F.expr(result_sql("code")).alias("result")
+    return _code_counts(df, rules, by or [], options).groupBy(*keys, "rule", result).agg(F.sum("tests").alias("tests"))
 
 
 def quality_by_field(df: DataFrame, rules: RuleFile, by: list[str] | None = None, **options) -> DataFrame:
     """Average quality per tested field, array elements taken together: ``field, tests, quality``."""
-    counted, names = _code_counts(df, rules, by or [], options)
-    named = counted.join(F.broadcast(names), "rule_id")
     keys = [F.col(quote(b)) for b in by or []]
     points = F.expr(quality_sql("code")).cast("long") * F.col("tests")
     return (
-        named.groupBy(*keys, "field")
+        _code_counts(df, rules, by or [], options)
+        .groupBy(*keys, "field")
         .agg(F.sum("tests").alias("tests"), F.sum(points).alias("points"))
         .select(*keys, "field", "tests", (F.col("points") / F.col("tests")).alias("quality"))
     )
 
 
-def _code_counts(df: DataFrame, rules: RuleFile, by: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
-    """(by..., rule_id, code, tests) and the names of the rule ids.
-
-    At most five rows per rule leave each task; the frame of names has one row
-    per rule, which bounds its broadcast.
-    """
+def _code_counts(df: DataFrame, rules: RuleFile, by: list[str], options: dict) -> DataFrame:
+    """Rows ``by..., rule, field, code, tests``, some of them still to be added up."""
     done = evaluate(df, rules, Options(**options))
-    names: list[tuple[int, str, str | None]] = []
-    keys = [F.col(quote(b)) for b in by]
     groups = [g for record in done.records for g in record.groups]
-    if groups and all(isinstance(g, TestGroup) for g in groups):
-        # the position of a code is its rule
-        for group in groups:
-            names += [(len(names) + n, t.name, _field(t.path)) for n, t in enumerate(group.tests)]
-        codes = groups[0].ref if len(groups) == 1 else f"concat({', '.join(g.ref for g in groups)})"
-        silent = [n for n, t in enumerate(t for g in groups for t in g.tests) if t.silent]
-        exploded = done.frame.select(*keys, F.posexplode_outer(F.expr(codes)).alias("rule_id", "code"))
-        if silent:
-            exploded = exploded.where(~F.col("rule_id").isin(silent))
-    else:
-        parts = [p for record in done.records for p in _coded(record, names)]
-        every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})" if parts else "array()"
-        pairs = F.explode_outer(F.expr(f"CAST({every} AS ARRAY<STRUCT<rule_id: INT, code: TINYINT>>)"))
-        exploded = done.frame.select(*keys, pairs.alias("__c")).select(*keys, "__c.rule_id", "__c.code")
+    if all(isinstance(g, TestGroup) for g in groups):
+        return _counted_in_place(done.frame, groups, by, options)
+    return _counted_by_element(done, by)
+
+
+# Merging the partial counts of very many tasks is spread over this many rows.
+MERGE_WAYS = 64
+
+
+def _counted_in_place(frame: DataFrame, groups: list[TestGroup], by: list[str], options: dict) -> DataFrame:
+    """Counters side by side in one aggregate: no row per test, one row per task to shuffle."""
+    permissive = options.get("mode") == "permissive"
+    keys = [F.col(quote(b)) for b in by]
+    counters, rows, number = [], [], 0
+    for g, group in enumerate(groups):
+        counters.append(F.expr(f"count({group.ref})").alias(f"ran{g}"))
+        for test in group.tests:
+            if test.silent:
+                continue
+            ran, false, error = f"ran{g}", f"false{number}", "0L"
+            if test.conditional:
+                ran = f"done{number}"
+                counters.append(F.expr(f"count({test.read()})").alias(ran))
+            counters.append(F.expr(f"count_if({test.read()} = {test.code_if_false})").alias(false))
+            if permissive:
+                error = f"error{number}"
+                counters.append(F.expr(f"count_if({test.read()} = {ERROR})").alias(error))
+            names = {"rule": literal(test.name), "field": literal(_field(test.path))}
+            counts = {PASS: f"{ran} - {false} - {error}", test.code_if_false: false, ERROR: error}
+            rows += [struct({**names, "code": str(code), "tests": n}) for code, n in counts.items() if n != "0L"]
+            number += 1
+    if not rows:
+        rows = [struct({"rule": "''", "field": "''", "code": "0", "tests": "0L"})]
+    way = F.expr(f"pmod(spark_partition_id(), {MERGE_WAYS})").alias("__way")
+    counted = frame.groupBy(*keys, way).agg(*counters)
+    unpivoted = counted.select(*keys, F.explode(F.expr(array(rows))).alias("__c"))
+    return unpivoted.select(*keys, "__c.*").where("tests > 0")
+
+
+def _counted_by_element(done, by: list[str]) -> DataFrame:
+    """One small pair per executed test of an element, counted before the shuffle."""
+    keys = [F.col(quote(b)) for b in by]
+    names: list[tuple[int, str, str | None]] = []
+    parts = [p for record in done.records for p in _coded(record, names)]
+    every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    pairs = F.explode_outer(F.expr(f"CAST({every} AS ARRAY<STRUCT<rule_id: INT, code: TINYINT>>)"))
     counted = (
-        exploded.where("code IS NOT NULL")
+        done.frame.select(*keys, pairs.alias("__c"))
+        .select(*keys, "__c.rule_id", "__c.code")
+        .where("code IS NOT NULL")
         .groupBy(*keys, "rule_id", "code")
         .agg(F.count(F.lit(1)).alias("tests"))
     )
-    return counted, df.sparkSession.createDataFrame(names, "rule_id int, rule string, field string")
+    # one row per rule, which bounds the broadcast
+    known = done.frame.sparkSession.createDataFrame(names, "rule_id int, rule string, field string")
+    return counted.join(F.broadcast(known), "rule_id").drop("rule_id")
 
 
 def _coded(record: Record, names: list) -> list[str]:

@@ -31,10 +31,9 @@ AUDIT_TYPE = T.StructType(
 
 DETAIL_LEVELS = ("all", "not_passed", "none")
 
-# Up to this many tests the detail structs are written out test by test, which
-# stays in generated code; beyond, the generated method would outgrow what the
-# JIT compiles and one lambda over the codes is faster.
-UNROLLED_TESTS = 10
+# With more tests than this the details always pass a lambda: Spark then leaves
+# the projection out of the fused method, which would outgrow what the JIT compiles.
+FUSED_TESTS = 10
 
 
 def result_of(code: int) -> str:
@@ -93,15 +92,11 @@ def _group_details(group: TestGroup, level: str, permissive: bool) -> str:
     highest = ERROR if permissive else 2
     if all(is_static(t.path) for t in group.tests):
         tables = [_detail_table(t, lowest, highest, level) for t in group.tests]
-        if len(tables) <= UNROLLED_TESTS:
-            rows = array([f"get({array(tab)}, {t.read()} - {lowest})" for tab, t in zip(tables, group.tests)])
-        else:
-            width = highest - lowest + 1
-            table = array([entry for tab in tables for entry in tab])
-            rows = f"transform({group.ref}, (c, n) -> get({table}, n * {width} + c - ({lowest})))"
+        shift = f" - ({lowest})" if lowest else ""
+        rows = array([f"get({array(tab)}, {t.read()}{shift})" for tab, t in zip(tables, group.tests)])
     else:
         rows = array([_element_detail(t, level) for t in group.tests])
-    if group.conditional or level == "not_passed":
+    if group.conditional or level == "not_passed" or len(group.tests) > FUSED_TESTS:
         rows = f"filter({rows}, d -> d IS NOT NULL)"
     return f"coalesce({rows}, {no_details()})"
 

@@ -232,10 +232,13 @@ class StepLowering:
     def _truth(self, rule: SingleTest, condition: str) -> str:
         if self.options.permissive:
             return f"coalesce({condition}, false)"
+        return f"coalesce({condition}, {self._no_result(rule)})"
+
+    def _no_result(self, rule: SingleTest) -> str:
         message = f"Rule '{rule.name}': {NOT_BOOLEAN}"
         if isinstance(rule.condition, str):
             message += f": {rule.condition}"
-        return f"coalesce({condition}, raise_error({literal(message)}))"
+        return f"raise_error({literal(message)})"
 
     def _code(self, rule: SingleTest, condition: str) -> str:
         otherwise = CODE_IF_FALSE[rule.if_false]

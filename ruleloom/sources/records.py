@@ -11,6 +11,16 @@ from ..plans.sqltext import ddl, literal, quote, struct
 MAGIC = b"\x00"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where the input has fewer splits than there are cores.
+
+    For large inputs, which have more, this does nothing; the order of rows
+    within a partition is only kept then.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def to_json(df: DataFrame, name: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """Every record as one JSON object, NULL fields included, next to the columns in ``keep``."""
     payload = F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns]), {"ignoreNullFields": "false"})
