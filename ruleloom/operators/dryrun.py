@@ -75,12 +75,12 @@ class _StepTrace:
         parts = []
         for group in record.groups:
             if isinstance(group, ElementGroup):
-                inner = self.rows(group.body)
+                inner = f"CASE WHEN {group.body.codes_ref} IS NOT NULL THEN {self.rows(group.body)} ELSE {self._none()} END"
                 bound = f"transform(array(get({group.ref}, {group.index})), {group.body.codes_ref} -> {inner})"
                 every = f"transform({group.source.ref}, ({group.element}, {group.index}) -> get({bound}, 0))"
                 parts.append(f"coalesce(flatten({every}), {self._none()})")
             else:
-                parts.append(array([self._test(t) for t in group.tests]))
+                parts.append(array([self._test(t) for t in group.tests if not t.marks_set]))
         if record.sets:
             parts.append(array([self._set(s) for s in record.sets]))
         if not parts:

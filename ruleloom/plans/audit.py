@@ -74,7 +74,9 @@ def details_sql(record: Record, level: str, permissive: bool) -> str | None:
         else:
             inner = details_sql(group.body, level, permissive)
             if inner:
-                rows = f"flatten(transform({group.ref}, ({group.body.codes_ref}, {group.index}) -> coalesce({inner}, {no_details()})))"
+                codes = group.body.codes_ref  # NULL for an element that is no record
+                inner = f"CASE WHEN {codes} IS NOT NULL THEN {inner} ELSE {no_details()} END"
+                rows = f"flatten(transform({group.ref}, ({codes}, {group.index}) -> {inner}))"
                 parts.append(f"coalesce({rows}, {no_details()})")
     if not parts:
         return None

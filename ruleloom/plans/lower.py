@@ -57,6 +57,7 @@ class Test:
     condition: str | None
     code: str
     conditional: bool
+    marks_set: bool = False  # no test, only tells that an empty set was reached
     group: "TestGroup" = None
     position: int = 0
 
@@ -402,7 +403,7 @@ class StepLowering:
         flat = [r[0] for r in results if r]
         if not flat:
             never_passed = rule.mode == "until_passes" and not rule.rules
-            result = when(guards, str(FAIL if never_passed else PASS))
+            result = self._empty_set(rule, container, record, guards, FAIL if never_passed else PASS)
         elif rule.mode == "until_passes":
             # the last test that ran decides, and tests not reached are NULL
             result = f"coalesce({', '.join(reversed(flat))})"
@@ -412,6 +413,15 @@ class StepLowering:
         record.sets.append(SetResult(rule, shown, container.path_of(rule.field), container, result))
         return [result]
 
+    def _empty_set(self, rule: TestSet, container: Place, record: Record, guards, result: int) -> str:
+        """The result of a set without tests; where it may not be reached, a slot tells whether it was."""
+        if not guards:
+            return str(result)
+        marker = SingleTest(None, rule.name, None)
+        test = Test(marker, rule.name, (), container, None, when(guards, str(PASS)), True, marks_set=True)
+        record.add_test(test)
+        return f"CASE WHEN {test.read()} IS NOT NULL THEN {result} END"
+
     def _code_from_stop(self, mode: str, child: SingleTest, stop: str, number: int) -> str | None:
         """The code where it follows from the stop alone, so the condition is not evaluated again."""
         if child.condition is None:
