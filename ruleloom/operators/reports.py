@@ -183,7 +183,10 @@ def write_split(df: DataFrame, path: str, column: str = "verdict", mode: str = "
 
 def verdict_trend(df: DataFrame, time: str, width: str = "1 hour", lateness: str | None = None) -> DataFrame:
     """Records per time window and verdict; with ``lateness`` ready for a stream in append mode."""
-    frame = df.withWatermark(time, lateness) if lateness else df
+    frame = df
+    if lateness:
+        # a watermark wants a timestamp with time zone
+        frame = df.withColumn(time, F.col(quote(time)).cast("timestamp")).withWatermark(time, lateness)
     counts = frame.groupBy(F.window(F.col(quote(time)), width).alias("w"), verdict().alias("verdict")).agg(
         F.count(F.lit(1)).alias("records")
     )
