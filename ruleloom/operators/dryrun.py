@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from ..plans.engine import evaluate
 from ..plans.lower import ERROR, NOT_BOOLEAN, ElementGroup, Options, Record, SetResult, StepLowering, Test
 from ..plans.scope import path_sql
 from ..plans.sqltext import array, ddl, literal, quote, struct
+from ..sources.records import align, from_json
 
 TRACE_TYPE = T.StructType(
     [
@@ -65,6 +67,22 @@ def trace(
     return rows.where("__row IS NOT NULL").select(*[F.col(quote(k)) for k in keys], "__row.*")
 
 
+def sample_record(spark: SparkSession, values: dict, schema: T.StructType) -> DataFrame:
+    """One record of the given type from plain values, for a dry run; ``"3"`` will do for a number."""
+    text = spark.createDataFrame([(json.dumps(values, default=str),)], "payload string")
+    return align(from_json(text, "payload", _as_text(schema)), schema)
+
+
+def _as_text(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_as_text(dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return T.MapType(T.StringType(), _as_text(dtype.valueType))
+    return T.StringType()
+
+
 class _StepTrace:
     def __init__(self, lowering: StepLowering, numbers):
         self.lowering, self.numbers = lowering, numbers

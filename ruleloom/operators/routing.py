@@ -19,7 +19,7 @@ from ..model import RuleFile
 from ..plans.audit import AUDIT, AUDIT_TYPE
 from ..plans.engine import validate
 from ..plans.sqltext import literal, quote
-from ..sources.records import avro_functions, frame
+from ..sources.records import avro_functions, frame, split_frame
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,15 @@ class FramedAvro:
         return frame(F.lit(self.output_ids[name]), body)
 
 
+def name_schemas(messages: DataFrame, names: dict[int, str], *, value: str = "value", column: str = "schema_name") -> DataFrame:
+    """Framed messages with the schema name their id stands for; NULL for ids without rules."""
+    ids = split_frame(messages, value).drop("body")
+    named = F.lit(None).cast("string")
+    for number, name in names.items():
+        named = F.when(F.col("schema_id") == number, F.lit(name)).otherwise(named)
+    return ids.withColumn(column, named).drop("schema_id")
+
+
 def validate_routed(
     df: DataFrame,
     routes: dict[str, Route],

@@ -220,7 +220,8 @@ class StepLowering:
             name = f"{self.prefix}f{len(self.formula_columns)}"
             self.formula_columns[name] = formula
             return quote(name)
-        return container.bind(formula)
+        # a comment at the end must not swallow what follows the formula
+        return container.bind(formula) + ("\n" if "--" in formula else "")
 
     def _condition(self, rule: SingleTest, container: Place) -> str | None:
         if rule.condition is None:

@@ -45,6 +45,25 @@ def load_rule_file(root: str | Path, subject: str, name: str, active: bool = Tru
     return RuleFile(name, found.steps, subject, found.output_subject, found.schema, found.sample_file)
 
 
+def sample_values(text: str, step: int = 0) -> dict:
+    """The sample inputs kept in one step of a rule file, nested like the record."""
+    return _sample({**json.loads(text)["rulesteps"][step], "type": "RecordRule"})
+
+
+def _sample(node: dict):
+    kind, children = node.get("type"), node.get("rules") or ()
+    if kind == "RecordRule":
+        return {c["fieldname"]: _sample(c) for c in children if c.get("fieldname") and c.get("type") != "GenericRules"}
+    if kind == "ArrayRule":
+        first = _sample(children[0]) if children else None
+        return [] if first is None else [first]
+    if kind == "UnionRule":
+        members = [c for c in children if (c.get("fielddatatype") or "").upper() != "NULL"]
+        given = ((n, c) for n, c in enumerate(members) if c.get("sampleinput") is not None)
+        return next(({f"member{n}": _sample(c)} for n, c in given), None)
+    return node.get("sampleinput")
+
+
 def _rules(node: dict) -> tuple:
     return tuple(r for r in map(_rule, node.get("rules") or ()) if r is not None)
 

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import RuleFile
+from ..operators.routing import Route, name_schemas, validate_routed
 from ..plans.engine import validate
+from ..sources.kafka import sink_columns
 
 ERRORS = "__rule_errors"
 QUARANTINED = "quarantined"
@@ -68,6 +70,15 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
+def validate_topic(
+    messages: DataFrame, routes: dict[str, Route], schema_names: dict[int, str], codec, output_topic: str, **options
+) -> DataFrame:
+    """Framed messages of a topic to the rows of the Kafka sink: key and partition kept, values validated."""
+    named = name_schemas(messages, schema_names)
+    done = validate_routed(named, routes, payload="value", codec=codec, **options)
+    return sink_columns(done, output_topic, partition="partition")
+
+
 def with_quarantine(df: DataFrame, rules: RuleFile, **options) -> DataFrame:
     """Validated rows, those with a condition that had no result flagged instead of stopping the job.
 

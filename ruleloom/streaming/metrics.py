@@ -31,14 +31,14 @@ class StreamStatus:
     failed: int = 0
     last_timestamp: str | None = None
     error: str | None = None
-    seen: set = field(default_factory=set)
+    last_batch: dict = field(default_factory=dict)  # per run, so it stays small
 
     def update(self, query: StreamingQuery) -> "StreamStatus":
         for progress in query.recentProgress:
-            key = (progress["runId"], progress["batchId"])
-            if key in self.seen or not progress["numInputRows"]:
+            run, batch = progress["runId"], progress["batchId"]
+            if batch <= self.last_batch.get(run, -1) or not progress["numInputRows"]:
                 continue
-            self.seen.add(key)
+            self.last_batch[run] = batch
             self.rows += progress["numInputRows"]
             self.busy_ms += progress["durationMs"].get("triggerExecution", 0)
             self.last_timestamp = progress["timestamp"]

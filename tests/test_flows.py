@@ -15,7 +15,7 @@ from ruleloom.session import SETTINGS, tune
 from ruleloom.sources import kafka
 from ruleloom.sources.records import align, frame, from_json, split_frame, to_json
 from ruleloom.sources.rulefiles import TopicRule
-from ruleloom.streaming.jobs import ERRORS, finish, read_files, with_quarantine, work_folder, write_files
+from ruleloom.streaming.jobs import ERRORS, finish, read_files, validate_topic, with_quarantine, work_folder, write_files
 from ruleloom.streaming.metrics import StreamStatus, observe_verdicts
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -91,6 +91,33 @@ def test_routing_scans_once_and_does_not_shuffle(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
+class FramedJson:
+    """Stands in for framed Avro, whose package is not at hand."""
+
+    def decode(self, payload, name, schema, permissive):
+        return F.from_json(F.substring(payload, 6, 1000).cast("string"), schema)
+
+    def encode(self, record, name):
+        return frame(F.lit(9), F.to_json(record).cast("binary"))
+
+
+def test_topic_messages(spark):
+    body = F.to_json(F.struct("id")).cast("binary")
+    framed = spark.range(3).select(
+        F.lit(bytearray(b"k")).alias("key"), frame((F.col("id") + 7).cast("int"), body).alias("value"),
+        F.lit("in").alias("topic"), F.lit(4).alias("partition"), F.col("id").alias("offset"),
+    )
+    routes = {"A": Route(RuleFile.of("a", SingleTest("id", "r", "id > 5", "WARN")), T.StructType().add("id", "long"))}
+    out = validate_topic(framed, routes, {7: "A", 8: "B"}, FramedJson(), "out")
+    assert out.columns == ["key", "value", "topic", "partition"]
+    rows = out.collect()
+    changed = [json.loads(bytes(r["value"])[5:]) for r in rows]
+    assert bytes(rows[0]["value"])[:5] == b"\x00\x00\x00\x00\x09"
+    assert changed[0]["__audit"]["__transformresult"] == "WARN"
+    assert [bytes(r["value"]) for r in rows[1:]] == [b'\x00\x00\x00\x00\x08{"id":1}', b'\x00\x00\x00\x00\x09{"id":2}']
+    assert {(r["topic"], r["partition"]) for r in rows} == {("out", 4)}
+
+
 # -- streams -------------------------------------------------------------------
 
 
