@@ -122,7 +122,7 @@ class TopicRule:
 
     @property
     def consumer_group(self) -> str:
-        return f"rulesservice_{self.input_topic}"
+        return f"rules_{self.input_topic}"
 
     @classmethod
     def parse(cls, text: str) -> "TopicRule":

@@ -44,14 +44,14 @@ def customers(spark):
     )
 
     def address(kind):
-        return (kind, "whatsoever 34", "Montreal", None, "H1A 0A1", "CA")
+        return (kind, "Main Street 34", "Montreal", None, "H1A 0A1", "CA")
 
     return spark.createDataFrame(
         [
-            (1, "Werner", "rtdi", None, [address("HOME")]),
-            (2, "Werner", "rtdi", None, [address("SHIPPING"), address("ABCD")]),
-            (3, "Werner", "rtdi", None, None),
-            (4, "Werner", None, "Acme", [address("home"), None]),
+            (1, "Ada", "Byron", None, [address("HOME")]),
+            (2, "Ada", "Byron", None, [address("SHIPPING"), address("ABCD")]),
+            (3, "Ada", "Byron", None, None),
+            (4, "Ada", None, "Acme", [address("home"), None]),
         ],
         schema,
     )
@@ -179,7 +179,7 @@ def test_topic_rule_is_checked():
         TopicRule("same", "same")
     with pytest.raises(ValueError):
         TopicRule("in", "out", ["nofolder.json"]).load("/nowhere")
-    assert TopicRule("orders", "clean").consumer_group == "rulesservice_orders"
+    assert TopicRule("orders", "clean").consumer_group == "rules_orders"
 
 
 def test_unknown_rule_type():
