@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import RuleFile
+from ..session import advise
 from .audit import (
     AUDIT,
     AUDIT_TYPE,
@@ -91,6 +92,7 @@ def evaluate(
         lowering = StepLowering(step, schema, options, f"{prefix}{number}_")
         steps.append(lowering)
         frame = _run_step(frame, lowering, gate_ref, observe)
+    advise(df.sparkSession, sum(1 for s in steps for _ in s.record.tests()))
     return Evaluated(frame, columns, steps, gate_ref)
 
 

@@ -285,6 +285,13 @@ def test_many_steps_do_not_blow_up_the_plan(spark):
     assert [len(details(r)) for r in out.collect()] == [15, 15, 15] and verdict(out.first()) == "PASS"
 
 
-def test_session_settings(spark):
+def test_session_settings(spark, recwarn):
+    many = RuleFile.of("t", *[SingleTest("id", f"r{n}", f"id > {n}") for n in range(30)])
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    with pytest.warns(UserWarning, match="tune"):
+        validate(spark.range(1), many)
     tune(spark)
     assert all(spark.conf.get(k) == v for k, v in SETTINGS.items())
+    recwarn.clear()
+    assert len(details(validate(spark.range(1), many).first())) == 30
+    assert not [w for w in recwarn.list if "tune" in str(w.message)]
