@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleloom import RuleFile, SingleTest, validate
+from ruleloom import ArrayOf, Generic, RuleFile, SingleTest, validate
 from ruleloom.operators.reports import audit_rows
+from ruleloom.sources.avro_schema import cleansed_name
 
 from .arrays import _line
 from .cleansing import lines_of_documents
@@ -56,8 +57,6 @@ def audit_quality(spark, folder):
     test("documents", "doc_id", "any", "lang <> source", None),
 ) + ")")
 def audit_paths(spark, folder):
-    from ruleloom import ArrayOf, Generic
-
     rules = RuleFile.of(
         "documents",
         ArrayOf("lines", [
@@ -101,8 +100,6 @@ def audit_merge_existing(spark, folder):
     " CAST(1 AS INTEGER) AS audit_details, 'customer_CLEANSED' AS schema_name FROM customer",
 )
 def audit_schema_added(spark, folder):
-    from ruleloom.sources.avro_schema import cleansed_name
-
     customer = table(spark, folder, "customer")
     done = validate(customer, RuleFile.of("customer", SingleTest("c_custkey", "key given", "c_custkey IS NOT NULL")))
     return done.select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.sqltext import quote
-from ..sources.records import to_json
 
 
 def sample_recent(
@@ -47,6 +46,3 @@ def sample_payload(sample: DataFrame, topic: str, partition: str, offset: str, r
     )
     payload = F.to_json(F.struct(*[F.col(quote(c)) for c in columns]), {"ignoreNullFields": "false"})
     return keys.select("sample_offset", "sample_topic", "sample_partition", "filename", payload.alias("payload"))
-
-
-__all__ = ["sample_recent", "sample_payload", "to_json"]

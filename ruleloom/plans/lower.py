@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 
 from ..model import ArrayOf, Generic, RecordOf, SingleTest, Step, TestSet, UnionOf
-from .scope import Place, path_sql, root_place
+from .scope import Place, root_place
 from .sqltext import all_of, array, ddl, greatest, literal, quote, struct, when
 
 WAIVED, PASS, WARN, FAIL, ERROR = -1, 0, 1, 2, 3
@@ -495,6 +495,3 @@ def _has_substitute(rule) -> bool:
     if isinstance(rule, SingleTest):
         return rule.substitute is not None
     return any(_has_substitute(r) for r in getattr(rule, "rules", ()))
-
-
-__all__ = ["Options", "StepLowering", "Record", "TestGroup", "ElementGroup", "Test", "path_sql"]
