@@ -333,7 +333,7 @@ class StepLowering:
                 )
         place = value.element(element, index)
         of_records = isinstance(place.dtype, T.StructType)
-        body = Record(depth, self.prefix, f"x{depth}", place)
+        body = Record(depth, self.prefix, f"x{depth}_{len(record.groups)}", place)
         children = rule.rules
         if of_records:
             # one record rule around the fields of the element says nothing more
@@ -443,16 +443,16 @@ class StepLowering:
         for test in self.record.tests():
             if test.rule.substitute is not None and not test.silent:
                 wanted.setdefault(test.container.id, []).append(test)
-        return self._rebuild_fields(self.root, self.record, wanted) if wanted else {}
+        return self._rebuild_fields(self.root, self.record.groups, wanted) if wanted else {}
 
-    def _rebuild_fields(self, place: Place, record: Record, wanted) -> dict[str, str]:
+    def _rebuild_fields(self, place: Place, groups: list, wanted) -> dict[str, str]:
         """Changed fields of ``place``: its own substitutes first, then those further inside."""
         own = wanted.get(place.id, [])
         changed = {}
         for struct_field in place.dtype.fields:
             name = struct_field.name
             here = place.child(name)
-            inside = self._rebuild(here, record, wanted)
+            inside = self._rebuild(here, groups, wanted)
             tests = [t for t in own if t.rule.field == name]
             if not tests and inside is None:
                 continue
@@ -463,26 +463,28 @@ class StepLowering:
             changed[name] = f"CASE {cases} ELSE {otherwise} END" if tests else otherwise
         return changed
 
-    def _rebuild(self, place: Place, record: Record, wanted) -> str | None:
+    def _rebuild(self, place: Place, groups: list, wanted) -> str | None:
         if isinstance(place.dtype, T.StructType):
-            changed = self._rebuild_fields(place, record, wanted)
+            changed = self._rebuild_fields(place, groups, wanted)
             if not changed:
                 return None
             rebuilt = struct({n: changed.get(n) or place.read(n) for n in place.names()})
             return f"CASE WHEN {place.ref} IS NOT NULL THEN {rebuilt} END"
         if isinstance(place.dtype, T.ArrayType):
-            result = None
-            for group in record.groups:
-                if isinstance(group, ElementGroup) and group.source.id == place.id:
-                    if result is not None:
-                        raise ValueError(f"array {place.ref} is changed by two array rules of one step; use two steps")
-                    element = place.element(group.element, group.index)
-                    inner = self._rebuild(element, group.body, wanted)
-                    if inner is not None:
-                        # the codes of the element stand at the same index of the codes array
-                        bound = f"transform(array(get({group.ref}, {group.index})), {group.body.codes_ref} -> {inner})"
-                        result = f"transform({place.ref}, ({group.element}, {group.index}) -> get({bound}, 0))"
-            return result
+            groups = [g for g in groups if isinstance(g, ElementGroup) and g.source.id == place.id]
+            if not groups:
+                return None
+            element, index = groups[0].element, groups[0].index
+            inside = [inner for g in groups for inner in g.body.groups]
+            rebuilt = self._rebuild(place.element(element, index), inside, wanted)
+            if rebuilt is None:
+                return None
+            if any((g.element, g.index) != (element, index) for g in groups):
+                raise ValueError(f"array rules on {place.ref} in one step must use the same element and index names")
+            for group in reversed(groups):
+                # the codes of an element stand at the same index of the codes array
+                rebuilt = f"get(transform(array(get({group.ref}, {index})), {group.body.codes_ref} -> {rebuilt}), 0)"
+            return f"transform({place.ref}, ({element}, {index}) -> {rebuilt})"
         return None
 
     def new_value(self, test: Test) -> str:

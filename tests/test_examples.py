@@ -424,3 +424,17 @@ def test_dry_run_on_sample_values(spark):
         (3, "r", "a", "3", "6", "FAIL", None),
         (3, "q", "l[0].x", "4", "4", "FAIL", None),
     ]
+
+
+def test_two_array_rules_on_one_array(spark):
+    df = spark.createDataFrame([(1, [(1, 1, [(1,)]), (5, 5, None)])], "id int, l array<struct<x: int, y: int, m: array<struct<z: int>>>>")
+    rules = RuleFile.of(
+        "t",
+        ArrayOf("l", [SingleTest("x", "a", "{x} > 3", "WARN", "10"), ArrayOf("m", [SingleTest("z", "m1", "{z} > 1", "PASS", "20")])]),
+        SingleTest("id", "between", "id = 1"),
+        ArrayOf("l", [SingleTest("x", "b", "{x} > 4", "FAIL", "30"), SingleTest("y", "c", "{y} < 3", "PASS", "{x} + 40"),
+                      ArrayOf("m", [SingleTest("z", "m2", "{z} > 2", "PASS", "{parent.parent.x} + 50")])]),
+    )
+    out = validate(df, rules).first()
+    assert [d[0] for d in details(out)] == ["a", "m1", "a", "between", "b", "c", "m2", "b", "c"]
+    assert [e.asDict(True) for e in out["l"]] == [{"x": 30, "y": 1, "m": [{"z": 51}]}, {"x": 5, "y": 45, "m": None}]
