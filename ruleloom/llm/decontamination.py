@@ -85,20 +85,20 @@ def contaminated(
 #: The same by comparing words themselves, for DuckDB.
 SQL = f"""
 WITH docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS word FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS word FROM documents
 ), items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS word FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS word FROM benchmark
 ), dw AS (
   SELECT doc_id, p.pos, word[p.pos + 1 : p.pos + {SPAN}] AS w FROM docs, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos) p
 ), iw AS (
   SELECT item_id, p.pos, word[p.pos + 1 : p.pos + {SPAN}] AS w FROM items, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos) p
 ), ds AS (
-  SELECT doc_id, pos, w, m.k, array_to_string(list_filter(w, (x, i) -> (i - 1) % {MASKS} <> m.k), ' ') AS seed FROM dw, (VALUES (0), (1), (2)) m(k)
+  SELECT doc_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % {MASKS} <> m.k), ' ') AS seed FROM dw, (VALUES (0), (1), (2)) m(k)
 ), bs AS (
-  SELECT item_id, pos, w, m.k, array_to_string(list_filter(w, (x, i) -> (i - 1) % {MASKS} <> m.k), ' ') AS seed FROM iw, (VALUES (0), (1), (2)) m(k)
+  SELECT item_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % {MASKS} <> m.k), ' ') AS seed FROM iw, (VALUES (0), (1), (2)) m(k)
 ), pairs AS (
   SELECT doc_id, item_id, ds.pos AS doc_at, bs.pos AS item_at,
-    list_sum(list_transform(range(1, {SPAN + 1}), i -> CASE WHEN ds.w[i] = bs.w[i] THEN 1 ELSE 0 END)) AS agreeing
+    list_sum(list_transform(range(1, {SPAN + 1}), lambda i: CASE WHEN ds.w[i] = bs.w[i] THEN 1 ELSE 0 END)) AS agreeing
   FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, doc_at, item_at) AS r FROM pairs WHERE agreeing >= {AGREE}

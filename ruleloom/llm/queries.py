@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import decontamination
 from .common import table, text_of
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .packing import best_fit_pack
 from .registry import ORACLES, QUERIES, query
+from .token_file import check_token_files, write_token_files
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_token_file")
+def op2_token_file(spark, folder):
+    files = write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return check_token_files(files)
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, folder):
+    return best_fit_pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 @query("op9_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
