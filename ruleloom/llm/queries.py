@@ -9,6 +9,7 @@ from . import decontamination
 from .common import table, text_of
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .packing import best_fit_pack
 from .registry import ORACLES, QUERIES, query
 from .token_file import check_token_files, write_token_files
@@ -27,6 +28,11 @@ def op3_best_fit_packing(spark, folder):
     return best_fit_pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark, folder):
+    return ngram_join(table(spark, folder, "documents"))
+
+
 @query("op9_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
