@@ -13,6 +13,7 @@ from .ngram_join import ngram_join
 from .packing import best_fit_pack
 from .registry import ORACLES, QUERIES, query
 from .token_file import check_token_files, write_token_files
+from .warc import all_entries, read_records, write_archive
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -28,6 +29,13 @@ def op3_best_fit_packing(spark, folder):
     return best_fit_pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query("op5_warc_index")
+def op5_warc_index(spark, folder):
+    archive = write_archive(table(spark, folder, "pages"))
+    records = read_records(all_entries(archive), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark, folder):
     return ngram_join(table(spark, folder, "documents"))
