@@ -9,6 +9,7 @@ from . import decontamination
 from .common import table, text_of
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .language_id import identify, learn
 from .ngram_join import ngram_join
 from .packing import best_fit_pack
 from .registry import ORACLES, QUERIES, query
@@ -36,6 +37,12 @@ def op5_warc_index(spark, folder):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_language_id")
+def op6_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    return identify(docs, learn(docs))
+
+
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark, folder):
     return ngram_join(table(spark, folder, "documents"))
