@@ -180,6 +180,6 @@ def _read(manifest: DataFrame, column: str, made, kind: pa.DataType) -> DataFram
                         ["doc_id", "start", "n_tokens", column.split()[0]],
                     )
 
-    # A file is a task's work: each has its own.
-    tasks = manifest.select("ids_file", "docs_file", "start").repartition(F.col("ids_file"))
+    # A file is a task's work.  A fixed number of tasks, since the rows that name the files are too small to be dealt by size.
+    tasks = manifest.select("ids_file", "docs_file", "start").repartition(max(1, manifest.count()))
     return tasks.mapInArrow(read, f"doc_id long, start long, n_tokens long, {column}")

@@ -229,7 +229,8 @@ def all_entries(archive: Archive) -> DataFrame:
 
         return _entries(batches, of)
 
-    return archive.index.select("index_file").repartition("index_file").mapInArrow(read, ENTRY)
+    # A fixed number of tasks, one per file: the rows that name the files are too small to be dealt by size.
+    return archive.index.select("index_file").repartition(max(1, archive.index.count())).mapInArrow(read, ENTRY)
 
 
 def lookup(archive: Archive, urls: DataFrame, url_column: str = "url") -> DataFrame:
@@ -285,6 +286,8 @@ def read_records(entries: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield _batch(rows, names, kinds)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    # Neighbours in a file are read together; a large file is shared by several tasks.
-    dealt = entries.repartition("file", F.floor(F.col("offset") / (1 << 24))).sortWithinPartitions("file", "offset")
+    # Neighbours in a file are read together; a large file is shared by several tasks.  Entries are small and the records are not,
+    # so the number of tasks is the session's and does not shrink with the entries.
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(tasks, "file", F.floor(F.col("offset") / (1 << 22))).sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(read, schema)
