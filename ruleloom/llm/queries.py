@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify, learn
 from .ngram_join import ngram_join
 from .packing import best_fit_pack
+from .pii import KINDS, find_pii
 from .registry import ORACLES, QUERIES, query
 from .token_file import check_token_files, write_token_files
 from .warc import all_entries, read_records, write_archive
@@ -48,6 +49,31 @@ def op7_ngram_jaccard_join(spark, folder):
     return ngram_join(table(spark, folder, "documents"))
 
 
+def _of_kind(kind):
+    return lambda span: span["kind"] == kind
+
+
+@query("op8_pii")
+def op8_pii(spark, folder):
+    found = find_pii(table(spark, folder, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    place = F.create_map(*(F.lit(x) for n, k in enumerate(KINDS) for x in (k, n)))
+    ordered = F.transform(
+        F.array_sort(F.transform(
+            F.concat("base", "added"), lambda s: F.struct(place[s["kind"]].alias("n"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        )),
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+    )
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(ordered).alias("spans"),
+        F.size("added").alias("n_added"),
+    )
+
+
 @query("op9_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
