@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, toxicity
 from .common import table, text_of
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
@@ -20,6 +20,12 @@ from .warc import all_entries, read_records, write_archive
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
 @query("op2_token_file")
 def op2_token_file(spark, folder):
     files = write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
