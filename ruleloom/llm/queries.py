@@ -13,6 +13,7 @@ from .language_id import identify, learn
 from .ngram_join import ngram_join
 from .packing import best_fit_pack
 from .pii import KINDS, find_pii
+from .pseudo_likelihood import pseudo_likelihood
 from .registry import ORACLES, QUERIES, query
 from .token_file import check_token_files, write_token_files
 from .warc import all_entries, read_records, write_archive
@@ -37,6 +38,11 @@ def op3_best_fit_packing(spark, folder):
     return best_fit_pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query("op4_pseudo_likelihood")
+def op4_pseudo_likelihood(spark, folder):
+    return pseudo_likelihood(table(spark, folder, "documents"))
+
+
 @query("op5_warc_index")
 def op5_warc_index(spark, folder):
     archive = write_archive(table(spark, folder, "pages"))
