@@ -16,7 +16,6 @@ from catalog import QUERIES
 from ruleloom import RuleFile, SingleTest, validate
 from ruleloom.operators.reports import rule_summary
 from ruleloom.session import tune
-from ruleloom.sources.records import spread
 
 FROM_CATALOG = (
     "rule_single_test rule_severity_levels testset_all testset_first_fail testset_first_pass testset_nested "
@@ -40,14 +39,11 @@ def wide_queries():
     def plain(spark, folder):
         return spark.read.parquet(f"{folder}/lineitem.parquet")
 
-    def lineitem(spark, folder):
-        return spread(plain(spark, folder))
-
     for count in (10, 50, 200):
         rules = wide_rules(count)
-        yield f"details_{count}_rules", lambda s, d, r=rules: validate(lineitem(s, d), r)
+        yield f"details_{count}_rules", lambda s, d, r=rules: validate(plain(s, d), r)
         yield f"verdict_{count}_rules", lambda s, d, r=rules: validate(plain(s, d), r, details="none")
-        yield f"summary_{count}_rules", lambda s, d, r=rules: rule_summary(lineitem(s, d), r)
+        yield f"summary_{count}_rules", lambda s, d, r=rules: rule_summary(plain(s, d), r)
 
 
 def main() -> None:

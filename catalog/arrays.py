@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ruleloom import ArrayOf, Generic, RuleFile, SingleTest, TestSet, validate
 from ruleloom.functions import formulas as fx
-from ruleloom.sources.records import spread
 
 from .cleansing import lines_of_documents
 from .registry import detail, flat, query, table, test, union
@@ -97,6 +96,7 @@ def _charges(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", listed)
 
 
+_WANTED = "CASE WHEN l_linenumber = 1 THEN 'discount' ELSE 'fee' END"
 _FOUND = "(SELECT *, CASE WHEN l_quantity > 10 THEN l_discount END AS d FROM lineitem)"
 
 
@@ -105,7 +105,7 @@ _FOUND = "(SELECT *, CASE WHEN l_quantity > 10 THEN l_discount END AS d FROM lin
     union(
         test(_FOUND, "l_orderkey, l_linenumber", "has discount", "d IS NOT NULL", "charges"),
         test(_FOUND, "l_orderkey, l_linenumber", "low discount", "coalesce(d, 0) < 0.05", "charges", "WARN"),
-        test(_FOUND, "l_orderkey, l_linenumber", "no fee", "true", "charges"),
+        test(_FOUND, "l_orderkey, l_linenumber", "no fee", "NOT (l_linenumber = 1 AND l_quantity > 10)", "charges"),
     ),
 )
 def array_find(spark, folder):
@@ -114,7 +114,7 @@ def array_find(spark, folder):
         "lineitem",
         SingleTest("charges", "has discount", f"{discount} IS NOT NULL"),
         SingleTest("charges", "low discount", f"coalesce({discount}.rate, 0) < 0.05", "WARN"),
-        SingleTest("charges", "no fee", f"{fx.find('charges', 'kind', chr(39) + 'fee' + chr(39))} IS NULL"),
+        SingleTest("charges", "no fee", f"{fx.find('charges', 'kind', _WANTED)} IS NULL"),
     )
     return flat(validate(_charges(spark, folder), rules), "l_orderkey", "l_linenumber")
 
@@ -123,7 +123,7 @@ def array_find(spark, folder):
     "safe_navigation",
     union(
         test("lineitem", "l_orderkey, l_linenumber", "first is tax", "l_quantity > 10", "charges"),
-        test("lineitem", "l_orderkey, l_linenumber", "no sixth", "true", "charges"),
+        test("lineitem", "l_orderkey, l_linenumber", "none there", "l_quantity <= 10 OR l_linenumber > 3", "charges"),
         test("lineitem", "l_orderkey, l_linenumber", "guarded", "l_quantity <= 10 OR l_tax < 0.05", "charges", "WARN"),
     ),
 )
@@ -131,7 +131,7 @@ def safe_navigation(spark, folder):
     rules = RuleFile.of(
         "lineitem",
         SingleTest("charges", "first is tax", f"{fx.item('charges', '0')}.kind <=> 'tax'"),
-        SingleTest("charges", "no sixth", f"{fx.item('charges', '5')}.kind IS NULL"),
+        SingleTest("charges", "none there", f"{fx.item('charges', 'l_linenumber - 1')}.kind IS NULL"),
         SingleTest("charges", "guarded", "CASE WHEN charges IS NULL THEN true ELSE charges[0].rate < 0.05 END", "WARN"),
     )
     return flat(validate(_charges(spark, folder), rules), "l_orderkey", "l_linenumber")
@@ -149,7 +149,7 @@ GROUP BY conv_id, turn, result""",
 )
 def rule_array_in_array(spark, folder):
     nested = "transform(split(text, '\\n'), l -> named_struct('words', transform(split(l, ' '), w -> named_struct('word', w))))"
-    turns = spread(table(spark, folder, "conversations")).select("conv_id", "turn", "role", F.expr(nested).alias("lines"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.expr(nested).alias("lines"))
     short = SingleTest("word", "short word", "length({word}) <= 8 OR {parent.parent.parent.parent.role} = 'user'", "WARN")
     rules = RuleFile.of("conversations", ArrayOf("lines", [ArrayOf("words", [short])]))
     # the details of one record stay inside it, so they are counted without a shuffle

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ruleloom import RuleFile, SingleTest, validate
 from ruleloom.functions import formulas as fx
-from ruleloom.sources.records import spread
 
 from .registry import flat, query, table, test, union
 
@@ -25,7 +24,7 @@ def group(name: str, source: str, key: str, field: str, cases: list[tuple[str, s
 
     @query(name, union(*[test(relation, key, rule, condition, field, "WARN") for rule, _, condition in cases]))
     def run(spark, folder):
-        df = spread(table(spark, folder, source)) if source == "documents" else table(spark, folder, source)
+        df = table(spark, folder, source)
         df = df.select("*", *[F.expr(formula).alias(column) for column, (formula, _) in given.items()])
         return flat(validate(df, rules), key)
 
@@ -104,14 +103,47 @@ group("scalar_empty_size", "documents", "doc_id", "text", [
     ("empty text", fx.empty("t"), "t IS NULL OR length(t) = 0"),
     ("long text", "length(text) > 1000", "length(text) > 1000"),
     ("many lines", "size(split(text, '\\n')) > 5", "len(string_split(text, chr(10))) > 5"),
-    ("no list", fx.empty_collection("array()"), "true"),
-], {"t": ("nullif(source, 'web')", "nullif(source, 'web')")})
+    ("no list", fx.empty_collection("filter(array(doc_id % 3, doc_id % 5), x -> x = 0)"), "NOT (doc_id % 3 = 0 OR doc_id % 5 = 0)"),
+    ("no list at all", fx.empty_collection("CASE WHEN doc_id % 2 = 0 THEN array(1) END"), "doc_id % 2 <> 0"),
+], {"t": ("nullif(source, 'src7')", "nullif(source, 'src7')")})
+
+# Texts with white space of all kinds, as SQL of both sides, and what the methods have to give, spelled out for each.
+_ODD = [
+    ("'abc'", "'abc'"), ("'abc\\n'", "'abc' || chr(10)"), ("' \\tabc \\r\\n'", "' ' || chr(9) || 'abc ' || chr(13) || chr(10)"),
+    ("' \\t\\n'", "' ' || chr(9) || chr(10)"), ("'\u2003\u3000'", "chr(8195) || chr(12288)"), ("'\u00a0'", "chr(160)"), ("''", "''"),
+    ("'a,b,,'", "'a,b,,'"), ("',,a'", "',,a'"), ("',,'", "',,'"), ("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)"),
+]
+
+
+def _odd(side: int) -> str:
+    cases = " ".join(f"WHEN {n} THEN {pair[side]}" for n, pair in enumerate(_ODD))
+    return f"CASE o_orderkey % {len(_ODD)} {cases} END"
+
+
+def _where(*numbers: int) -> str:
+    return f"o_orderkey % {len(_ODD)} IN ({', '.join(map(str, numbers))})"
+
+
+group("scalar_white_space", "orders", "o_orderkey", "t", [
+    ("whole match", f"coalesce({fx.matches('t', '[a-z]+')}, false)", _where(0)),
+    ("dot does not end the line", f"coalesce({fx.matches('t', '.*')}, false)", f"NOT {_where(1, 2, 3, 10)}"),
+    ("is blank", f"coalesce({fx.blank('t')}, false)", _where(3, 4, 6)),
+    ("null is not blank", f"{fx.blank('t')} IS NULL", _where(10)),
+    ("trimmed", f"{fx.trim('t')} <=> 'abc'", _where(0, 1, 2)),
+    ("trimmed to nothing", f"{fx.trim('t')} <=> ''", _where(3, 6)),
+    ("wide spaces stay", f"length({fx.trim('t')}) <=> 2", _where(4, 9)),
+    ("null stays null", f"{fx.trim('t')} IS NULL", _where(10)),
+    ("two parts", f"coalesce(size({fx.split('t', ',')}), 0) = 2", _where(7)),
+    ("empty parts in front stay", f"{fx.split('t', ',')} <=> array('', '', 'a')", _where(8)),
+    ("only separators", f"coalesce(size({fx.split('t', ',')}), -1) = 0", _where(9)),
+    ("no separator", f"coalesce(size({fx.split('t', ',')}), 0) = 1", _where(0, 1, 2, 3, 4, 5, 6)),
+], {"t": (_odd(0), _odd(1))})
 
 group("scalar_string_methods", "documents", "doc_id", "text", [
     ("length", "length(text) = n_chars", "length(text) = n_chars"),
     ("upper", "upper(lang) = 'EN'", "upper(lang) = 'EN'"),
     ("lower", "lower(source) = source", "lower(source) = source"),
-    ("trim", "trim(text) = text", "trim(text, ' ') = text"),
+    ("trim", fx.trim("text") + " = text", "ascii(text[1]) > 32 AND ascii(text[-1]) > 32"),
     ("substring", fx.substring("text", "2", "5") + " = 'the'", "substring(text, 3, 3) = 'the'"),
     ("tail", "length(" + fx.substring("text", "10") + ") > 50", "length(substring(text, 11)) > 50"),
     ("index of", fx.index_of("text", "'the'") + " > 20", "instr(text, 'the') - 1 > 20"),
@@ -119,9 +151,9 @@ group("scalar_string_methods", "documents", "doc_id", "text", [
     ("replace", "length(replace(text, 'e', '')) < length(text) * 0.9", "length(replace(text, 'e', '')) < length(text) * 0.9"),
     ("replace all", "length(regexp_replace(text, '[0-9]', '')) = length(text)",
      "length(regexp_replace(text, '[0-9]', '', 'g')) = length(text)"),
-    ("split", "size(split(text, ' ')) > 100", "len(string_split(text, ' ')) > 100"),
+    ("split", f"size({fx.split('text', ' ')}) > 100", "len(string_split(rtrim(text, ' '), ' ')) > 100"),
     ("is empty", "text = ''", "text = ''"),
-    ("is blank", fx.blank("text"), "length(regexp_replace(text, '\\s+', '', 'g')) = 0"),
+    ("is blank", fx.blank("text"), "NOT regexp_matches(text, '[^ \\t\\n\\r]')"),
     ("equals ignore case", fx.equals_ignore_case("lang", "'EN'"), "lower(lang) = 'en'"),
     ("char at", fx.char_at("text", "1") + " = 'e'", "substring(text, 2, 1) = 'e'"),
 ])
@@ -171,7 +203,7 @@ group("scalar_nested_access", "orders", "o_orderkey", "r", [
     ("field", "r.inner.status = 'F'", "o_orderstatus = 'F'"),
     ("index", "r.list[0] > 100", "o_orderkey > 100"),
     ("index in record", "r.list[1] % 2 = 0", "o_custkey % 2 = 0"),
-    ("safe index", "get(r.list, 2) IS NULL", "true"),
+    ("safe index", "get(r.list, CAST(o_orderkey % 3 AS INT)) IS NULL", "o_orderkey % 3 = 2"),
 ], {"r": ("named_struct('inner', named_struct('status', o_orderstatus), 'list', array(o_orderkey, o_custkey))", "o_orderkey")})
 
 group("scalar_case_folding", "customer", "c_custkey", "c_mktsegment", [

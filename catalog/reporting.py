@@ -83,18 +83,18 @@ def dq_verdict_by_hour(spark, folder):
     return verdict_trend(validate(table(spark, folder, "events"), EVENT_RULES, details="none"), "ts", "1 hour")
 
 
-_RECENT = """SELECT event_id, CAST(event_id % 4 AS INTEGER) AS part, user_id, event_type FROM (
-  SELECT *, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id DESC) AS r FROM events) WHERE r <= 10"""
+_RECENT = """SELECT event_id, CAST(event_id % 13 AS INTEGER) AS part, user_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id % 13 ORDER BY event_id DESC) AS r FROM events) WHERE r <= 10"""
 
 
 def _recent_events(spark, folder):
     events = table(spark, folder, "events").select(
-        "event_id", F.expr("CAST(event_id % 4 AS INT)").alias("part"), "user_id", "event_type"
+        "event_id", F.expr("CAST(event_id % 13 AS INT)").alias("part"), "user_id", "event_type"
     )
     return sample_recent(events, ["part"], "event_id")
 
 
-@query("sample_recent", f"{_RECENT} ORDER BY part, event_id DESC LIMIT 100")
+@query("sample_recent", f"{_RECENT} ORDER BY r, part LIMIT 100")
 def sample_recent_events(spark, folder):
     return _recent_events(spark, folder)
 
@@ -104,7 +104,7 @@ def sample_recent_events(spark, folder):
     f"""SELECT event_id AS sample_offset, 'events' AS sample_topic, part AS sample_partition,
   'partition_' || part || '_offset_' || event_id || '.json' AS filename,
   '{{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}}' AS payload
-FROM ({_RECENT} ORDER BY part, event_id DESC LIMIT 100)""",
+FROM ({_RECENT} ORDER BY r, part LIMIT 100)""",
 )
 def sample_payload_events(spark, folder):
     sample = _recent_events(spark, folder).withColumn("topic", F.lit("events"))
@@ -128,7 +128,7 @@ DRY_RULES = RuleFile(
     ),
 )
 
-_NO_RESULT = "This rule expression does not return true/false"
+_NO_RESULT = "the condition gave neither true nor false"
 
 
 def _trace_row(step, no, kind, rule, text, value, output, result, error="CAST(NULL AS VARCHAR)", source="customer"):
@@ -172,3 +172,60 @@ def dry_run_step(spark, folder):
     return trace(table(spark, folder, "customer"), DRY_RULES, ["c_custkey"], step=1)
 
 
+_FAILING = RuleFile.of(
+    "customer",
+    SingleTest("c_nationkey", "division", "100 / c_nationkey > 5", "WARN"),
+    SingleTest("c_name", "cast", "CAST(c_mktsegment AS INT) > 0"),
+    SingleTest("c_nationkey", "index", "array(4, 5, 6)[c_nationkey] > 4", "WARN"),
+    SingleTest("c_nationkey", "fine", "c_nationkey >= 0"),
+)
+_ERRORS_SQL = "concat_ws(',', CASE WHEN c_nationkey = 0 THEN 'division' END, 'cast', CASE WHEN c_nationkey > 2 THEN 'index' END)"
+
+
+@query("permissive_runtime_errors", f"SELECT c_custkey, 'FAIL' AS verdict, {_ERRORS_SQL} AS errors FROM customer")
+def permissive_runtime_errors(spark, folder):
+    done = validate(table(spark, folder, "customer"), _FAILING, mode="permissive", error_column="errors")
+    return done.select("c_custkey", F.col("__audit.__transformresult").alias("verdict"), F.array_join("errors", ",").alias("errors"))
+
+
+_REPLACING = RuleFile.of(
+    "customer",
+    SingleTest("c_nationkey", "not a number", "c_nationkey < 20", "WARN", "concat('n', c_name)"),
+    SingleTest("c_acctbal", "divided", "c_acctbal >= 0", "WARN", "100 / (c_nationkey - 7)"),
+    SingleTest("c_mktsegment", "blanked", "c_mktsegment <> 'FURNITURE'", "WARN", "nullif(c_mktsegment, 'FURNITURE')"),
+)
+_BAD_NATION, _BAD_BALANCE = "c_nationkey >= 20", "(c_acctbal < 0 AND c_nationkey = 7)"
+
+
+@query("permissive_bad_substitute", f"""SELECT c_custkey, c_nationkey,
+  CASE WHEN c_acctbal < 0 AND c_nationkey <> 7 THEN 100 / (c_nationkey - 7) ELSE c_acctbal END AS c_acctbal,
+  nullif(c_mktsegment, 'FURNITURE') AS c_mktsegment,
+  CASE WHEN {_BAD_NATION} OR {_BAD_BALANCE} THEN 'FAIL' WHEN c_acctbal < 0 OR c_mktsegment = 'FURNITURE' THEN 'WARN' ELSE 'PASS' END AS verdict,
+  concat_ws(',', CASE WHEN {_BAD_NATION} THEN 'not a number' END, CASE WHEN {_BAD_BALANCE} THEN 'divided' END) AS errors FROM customer""")
+def permissive_bad_substitute(spark, folder):
+    done = validate(table(spark, folder, "customer"), _REPLACING, mode="permissive", error_column="errors")
+    return done.select(
+        "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", F.col("__audit.__transformresult").alias("verdict"),
+        F.array_join("errors", ",").alias("errors"),
+    )
+
+
+_NO_VALUE = "the new value could not be made, the old one stays"
+
+
+@query(
+    "dry_run_errors",
+    union(
+        _trace_row("try", 1, "test", "ratio", "c_nationkey", "CAST(c_nationkey AS VARCHAR)", "CAST(c_nationkey AS VARCHAR)",
+                   "CASE WHEN c_nationkey = 0 THEN 'FAIL' WHEN 100 / c_nationkey > 5 THEN 'PASS' ELSE 'WARN' END",
+                   f"CASE WHEN c_nationkey = 0 THEN '{_NO_RESULT}' END"),
+        _trace_row("try", 2, "test", "renamed", "c_nationkey", "CAST(c_nationkey AS VARCHAR)", "CAST(c_nationkey AS VARCHAR)",
+                   "CASE WHEN c_nationkey < 20 THEN 'PASS' ELSE 'FAIL' END", f"CASE WHEN c_nationkey >= 20 THEN '{_NO_VALUE}' END"),
+    ),
+)
+def dry_run_errors(spark, folder):
+    rules = RuleFile("customer", (Step("try", [
+        SingleTest("c_nationkey", "ratio", "100 / c_nationkey > 5", "WARN"),
+        SingleTest("c_nationkey", "renamed", "c_nationkey < 20", "WARN", "concat('n', c_name)"),
+    ]),))
+    return trace(table(spark, folder, "customer"), rules, ["c_custkey"])

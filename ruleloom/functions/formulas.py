@@ -6,7 +6,13 @@ used at any depth of a rule.  String positions count from 0.
 
 from __future__ import annotations
 
-from ..plans.sqltext import literal
+from ..plans.sqltext import literal, quote
+
+# White space of any script: the separators of Unicode but for the unbreakable ones, and the control characters that separate.
+WHITE = (
+    "".join(chr(92) + x for x in ("t", "n", "x0B", "f", "r", "x1C-" + chr(92) + "x1F"))
+    + " \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000"
+)
 
 
 def same(a: str, b: str) -> str:
@@ -36,12 +42,28 @@ def empty_collection(value: str) -> str:
 
 
 def blank(text: str) -> str:
-    return f"(length(regexp_replace({text}, {literal(chr(92) + 's+')}, '')) = 0)"
+    """Empty, or white space of any script only; NULL for NULL."""
+    return f"({text} RLIKE {literal(chr(92) + 'A[' + WHITE + ']*' + chr(92) + 'z')})"
+
+
+def trim(text: str) -> str:
+    """Without the characters up to U+0020 (blanks, tabs, line ends, control characters) at both ends."""
+    ends = literal(f"{chr(92)}A[{chr(92)}x00- ]+|[{chr(92)}x00- ]+{chr(92)}z")
+    return f"regexp_replace({text}, {ends}, '')"
+
+
+def split(text: str, pattern: str) -> str:
+    """Parts between the matches, without empty parts at the end; a text without a match is one part."""
+    parts = f"split({text}, {literal(pattern)})"
+    kept = f"aggregate(sequence(1, size({parts})), 0, (last, n) -> CASE WHEN element_at({parts}, n) <> '' THEN n ELSE last END)"
+    whole = f"NOT ({text} RLIKE {literal(pattern)})"
+    return f"(CASE WHEN {whole} THEN array({text}) WHEN {text} IS NOT NULL THEN slice({parts}, 1, {kept}) END)"
 
 
 def matches(text: str, pattern: str) -> str:
     """Whether the pattern matches the whole text."""
-    return f"({text} RLIKE {literal(f'^(?:{pattern})$')})"
+    anchored = chr(92) + f"A(?:{pattern})" + chr(92) + "z"  # $ would accept a line end behind the match
+    return f"({text} RLIKE {literal(anchored)})"
 
 
 def member(value: str, values: str) -> str:
@@ -76,7 +98,10 @@ def item(array: str, position: str) -> str:
 
 def find(array: str, field: str, value: str) -> str:
     """The first record of an array whose field has the value, else NULL."""
-    return f"get(filter({array}, f -> f.{field} = {value}), 0)"
+    name = "__found"
+    while name in value or name in array or name == field:
+        name += "_"
+    return f"get(filter({array}, {name} -> {name}.{quote(field)} = {value}), 0)"
 
 
 def json_value(text: str, path: str, dtype: str = "STRING") -> str:

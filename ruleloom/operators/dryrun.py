@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..model import RuleFile, Step
 from ..plans.audit import result_sql
 from ..plans.engine import evaluate
-from ..plans.lower import ERROR, NOT_BOOLEAN, ElementGroup, Options, Record, SetResult, StepLowering, Test
+from ..plans.lower import ERROR, NO_NEW_VALUE, NOT_BOOLEAN, ElementGroup, Options, Record, SetResult, StepLowering, Test
 from ..plans.scope import path_sql
 from ..plans.sqltext import array, ddl, literal, quote, struct
 from ..sources.records import align, from_json
@@ -45,7 +45,8 @@ def trace(
 
     ``input`` is the tested value before the step, ``output`` the value the test
     would leave, ``result`` is NULL where a test was not reached.  A condition
-    that is neither true nor false gives FAIL and an error text.  With ``step``
+    that is neither true nor false, a runtime error and a substitute that fails
+    give FAIL and an error text; a failed substitute leaves the value.  With ``step``
     only that step (counted from 0) runs, on the record as given.
     """
     if step is not None:
@@ -112,7 +113,10 @@ class _StepTrace:
             dtype = test.container.dtype[test.rule.field].dataType
             new = self._text(self.lowering.new_value(test), dtype)
             output = f"CASE WHEN {code} = {test.code_if_false} THEN {new} ELSE {value} END"
-        error = f"CASE WHEN {code} = {ERROR} THEN {literal(NOT_BOOLEAN)} END"
+        error = literal(NOT_BOOLEAN)
+        if test.rule.substitute is not None and test.condition is not None:
+            error = f"CASE WHEN ({test.condition}) IS NULL THEN {error} ELSE {literal(NO_NEW_VALUE)} END"
+        error = f"CASE WHEN {code} = {ERROR} THEN {error} END"
         return self._row("test", test.name, test.path, value, output, code, error)
 
     def _set(self, found: SetResult) -> str:

@@ -18,6 +18,8 @@ def sample_recent(
 ) -> DataFrame:
     """The last records of every partition, at most ``max_rows`` in all.
 
+    Where the limit cuts, every partition gives its newest record before any gives its second.
+
     Spark trims each partition group before the shuffle (window group limit),
     so even one huge partition sends only ``last`` rows per task.
     """
@@ -25,9 +27,9 @@ def sample_recent(
     return (
         df.withColumn("__recent", F.row_number().over(newest_first))
         .where(F.col("__recent") <= last)
-        .drop("__recent")
-        .orderBy(*partition_by, F.col(quote(offset)).desc())
+        .orderBy("__recent", *partition_by)
         .limit(max_rows)
+        .drop("__recent")
     )
 
 
@@ -38,6 +40,7 @@ def sample_payload(sample: DataFrame, topic: str, partition: str, offset: str, r
         F.col(quote(offset)).cast("long").alias("sample_offset"),
         F.col(quote(topic)).cast("string").alias("sample_topic"),
         F.col(quote(partition)).cast("int").alias("sample_partition"),
+        # fixed value: how sample files are named
         F.concat(
             F.lit("partition_"), F.col(quote(partition)).cast("string"),
             F.lit("_offset_"), F.col(quote(offset)).cast("string"), F.lit(".json"),

@@ -31,10 +31,6 @@ AUDIT_TYPE = T.StructType(
 
 DETAIL_LEVELS = ("all", "not_passed", "none")
 
-# With more tests than this the details always pass a lambda: Spark then leaves
-# the projection out of the fused method, which would outgrow what the JIT compiles.
-FUSED_TESTS = 10
-
 
 def result_of(code: int) -> str:
     return "PASS" if code <= 0 else "WARN" if code == 1 else "FAIL"
@@ -98,8 +94,8 @@ def _group_details(group: TestGroup, level: str, permissive: bool) -> str:
         rows = array([f"get({array(tab)}, {t.read()}{shift})" for tab, t in zip(tables, group.tests)])
     else:
         rows = array([_element_detail(t, level) for t in group.tests])
-    if group.conditional or level == "not_passed" or len(group.tests) > FUSED_TESTS:
-        rows = f"filter({rows}, d -> d IS NOT NULL)"
+    # The lambda also keeps the projection out of the fused method, which many tests would make too large for the JIT.
+    rows = f"filter({rows}, d -> d IS NOT NULL)"
     if level == "not_passed":
         # most records pass, and then there is nothing to build
         rows = f"CASE WHEN array_max({group.ref}) > 0 THEN {rows} END"

@@ -13,6 +13,7 @@ and, once at the end, the audit structure from the codes of all steps.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -66,6 +67,23 @@ def gate_sql(schema: T.StructType, extra: str | None = None) -> str | None:
     return " AND ".join(f"({p})" for p in parts) or None
 
 
+@contextmanager
+def errors_become_null(spark, wanted: bool):
+    """Within it expressions are analysed so that a failing division, cast or index gives NULL instead of stopping the job.
+
+    The choice is fixed when an expression is analysed, so the session's setting is back before anything runs.
+    """
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    if wanted and before != "false":
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if spark.conf.get(key) != before:
+            spark.conf.set(key, before)
+
+
 def evaluate(
     df: DataFrame,
     rules: RuleFile,
@@ -80,6 +98,11 @@ def evaluate(
     ``observe`` may give SQL text evaluated in each step on the values before
     its substitutes; the result stays in the column ``observed`` of the step.
     """
+    with errors_become_null(df.sparkSession, options.permissive):
+        return _evaluate(df, rules, options, only_rows, prefix, observe)
+
+
+def _evaluate(df, rules, options, only_rows, prefix, observe) -> Evaluated:
     columns = df.columns
     gate = gate_sql(df.schema, only_rows)
     frame, gate_ref = df, None
@@ -137,7 +160,11 @@ def validate(
     """Validate and cleanse every record of ``df`` and add or extend ``__audit``.
 
     ``mode``           ``strict``: a condition that is neither true nor false fails the
-                       query; ``permissive``: it counts as FAIL.
+                       query, and so does a runtime error; ``permissive``: both count as FAIL, and
+                       a substitute that fails or does not fit its field leaves the old value
+                       and counts as FAIL.  Formulas follow Spark's non-ANSI rules then: what
+                       would be an error is NULL (sums beyond a type's range wrap around).
+                       A NULL substitute is taken as meant only if its formula names NULL or nullif.
     ``verdict``        ``details``: the lowest single test decides; ``sets``: the lowest
                        result of the outermost tests and test sets does.
     ``details``        ``all``, ``not_passed`` or ``none``; the verdict is the same.
@@ -155,6 +182,8 @@ def validate(
     options = Options(mode, nested_scope, qualify_names)
     if error_column and not options.permissive:
         raise ValueError("error_column needs mode='permissive'")
+    if error_column in df.columns or error_column == AUDIT:
+        raise ValueError(f"error_column {error_column!r} is a column already")
     if not rules.steps:
         return df
     done = evaluate(df, rules, options, only_rows=only_rows, prefix=prefix)

@@ -13,6 +13,7 @@ here and are only attached where details are wanted.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -22,9 +23,13 @@ from ..model import ArrayOf, Generic, RecordOf, SingleTest, Step, TestSet, Union
 from .scope import Place, root_place
 from .sqltext import all_of, array, ddl, greatest, literal, quote, struct, when
 
+# A substitute that may give NULL on purpose says so.
+_MEANS_NULL = re.compile(r"\b(null|nullif)\b", re.IGNORECASE)
+
 WAIVED, PASS, WARN, FAIL, ERROR = -1, 0, 1, 2, 3
 CODE_IF_FALSE = {"PASS": WAIVED, "WARN": WARN, "FAIL": FAIL}
-NOT_BOOLEAN = "This rule expression does not return true/false"
+NOT_BOOLEAN = "the condition gave neither true nor false"
+NO_NEW_VALUE = "the new value could not be made, the old one stays"
 
 
 @dataclass(frozen=True)
@@ -242,9 +247,11 @@ class StepLowering:
             message += f": {rule.condition}"
         return f"raise_error({literal(message)})"
 
-    def _code(self, rule: SingleTest, condition: str) -> str:
+    def _code(self, rule: SingleTest, condition: str, container: Place) -> str:
         otherwise = CODE_IF_FALSE[rule.if_false]
         if self.options.permissive:
+            if rule.substitute is not None:
+                otherwise = f"CASE WHEN {self._bad_substitute(rule, container)} THEN {ERROR} ELSE {otherwise} END"
             return f"CASE WHEN {condition} THEN {PASS} WHEN NOT ({condition}) THEN {otherwise} ELSE {ERROR} END"
         return f"CASE WHEN {self._truth(rule, condition)} THEN {PASS} ELSE {otherwise} END"
 
@@ -369,7 +376,7 @@ class StepLowering:
         qualified = self.options.qualify_names and path_name
         decided = code is not None
         if not decided:
-            code = str(PASS) if condition is None else self._code(rule, condition)
+            code = str(PASS) if condition is None else self._code(rule, condition, container)
         test = Test(
             rule=rule,
             name=f"{path_name}/{rule.name}" if qualified else rule.name,
@@ -488,9 +495,19 @@ class StepLowering:
         return None
 
     def new_value(self, test: Test) -> str:
-        value = self._formula(test.rule.substitute, test.container, test.name)
+        return self._new_value(test.rule, test.container)
+
+    def _new_value(self, rule: SingleTest, container: Place) -> str:
+        value = self._formula(rule.substitute, container, rule.name)
         cast = "try_cast" if self.options.permissive else "CAST"
-        return f"{cast}({value} AS {ddl(test.container.dtype[test.rule.field].dataType)})"
+        return f"{cast}({value} AS {ddl(container.dtype[rule.field].dataType)})"
+
+    def _bad_substitute(self, rule: SingleTest, container: Place) -> str:
+        """Whether the new value would be a NULL that the formula did not mean."""
+        new = self._new_value(rule, container)
+        if isinstance(rule.substitute, str) and _MEANS_NULL.search(rule.substitute):
+            return f"({new}) IS NULL AND ({self._formula(rule.substitute, container, rule.name)}) IS NOT NULL"
+        return f"({new}) IS NULL"
 
 
 def _has_substitute(rule) -> bool:

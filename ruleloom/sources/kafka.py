@@ -58,6 +58,19 @@ def write_topic(df: DataFrame, bootstrap_servers: str, checkpoint: str, *, inter
     )
 
 
+def read_recent(
+    spark: SparkSession, topics: list[str], bootstrap_servers: str, ends: dict[str, dict[int, int]], last: int = 10,
+    options: dict[str, str] | None = None,
+) -> DataFrame:
+    """The last messages before the end offsets of each partition, as a batch."""
+    import json
+
+    until = json.dumps({t: {str(p): end for p, end in parts.items()} for t, parts in ends.items()})
+    reader = spark.read.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers).option("subscribe", ",".join(topics))
+    reader = reader.option("startingOffsets", recent_offsets(ends, last)).option("endingOffsets", until)
+    return reader.options(**(options or {})).load()
+
+
 def recent_offsets(ends: dict[str, dict[int, int]], last: int = 10) -> str:
     """``startingOffsets`` for the last messages of each partition, from the end offsets."""
     import json

@@ -11,16 +11,6 @@ from ..plans.sqltext import ddl, literal, quote, struct
 MAGIC = b"\x00"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where the input has fewer splits than there are cores.
-
-    For large inputs, which have more, this does nothing; the order of rows
-    within a partition is only kept then.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def to_json(df: DataFrame, name: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """Every record as one JSON object, NULL fields included, next to the columns in ``keep``."""
     payload = F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns]), {"ignoreNullFields": "false"})
@@ -42,12 +32,17 @@ def split_frame(df: DataFrame, value: str = "value") -> DataFrame:
     A value without the leading 0 byte stops the job; a NULL value stays NULL.
     """
     v = quote(value)
-    message = literal("This input is not a valid Avro record with a magic byte")
+    message = literal("a framed value starts with a zero byte and four bytes of schema id")
     valid = f"CASE WHEN {v} IS NULL THEN true WHEN length({v}) >= 5 AND substring({v}, 1, 1) = X'00' THEN true ELSE raise_error({message}) END"
     schema_id = f"CASE WHEN {valid} THEN CAST(conv(hex(substring({v}, 2, 4)), 16, 10) AS INT) END"
     return df.select("*", F.expr(schema_id).alias("schema_id"), F.expr(f"substring({v}, 6)").alias("body"))
 
 
+def framed_id(value: Column) -> Column:
+    """The schema id in a framed value."""
+    return F.conv(F.hex(F.substring(value, 2, 4)), 16, 10).cast("int")
+
+
 def frame(schema_id: Column, body: Column) -> Column:
     """The framed value for a body, the reverse of ``split_frame``."""
     hex_id = F.lpad(F.hex(schema_id), 8, "0")
@@ -95,6 +90,21 @@ def align(df: DataFrame, target: T.StructType, defaults: dict[str, object] | Non
     return df.select(columns)
 
 
+def align_column(record: Column, have: T.StructType, target: T.StructType, defaults: dict[str, object] | None = None, keep=()) -> Column:
+    """A record brought to the fields and types of ``target``; those in ``keep`` go along behind.  NULL stays NULL."""
+    defaults, known = defaults or {}, {f.name: f.dataType for f in have.fields}
+
+    def build(r: Column) -> Column:
+        parts = []
+        for f in target.fields:
+            own = r.getField(f.name).cast(f.dataType) if f.name in known else F.lit(defaults.get(f.name)).cast(f.dataType)
+            parts.append(own.alias(f.name))
+        return F.struct(*parts, *[r.getField(k).alias(k) for k in keep])
+
+    # bound by a lambda, so that the record is decoded once
+    return F.get(F.transform(F.array(record), lambda r: F.when(r.isNotNull(), build(r))), F.lit(0))
+
+
 def _align(ref: str, have: T.DataType, want: T.DataType, depth: int) -> str:
     if have == want:
         return ref

@@ -130,14 +130,18 @@ class TopicRule:
         return cls(data.get("inputtopicname"), data.get("outputtopicname"), data.get("rulefiles"))
 
     def load(self, root: str | Path) -> list[RuleFile]:
-        """The active versions of all rule files, named ``<subject>/<file>``."""
+        """The active versions of the rule files, named ``<subject>/<file>``; those that are not active are left out.
+
+        A job none of whose rule files is active is refused.
+        """
         found = []
         for key in self.rule_files:
             subject, slash, name = key.partition("/")
             if not slash or not subject:
                 raise ValueError(f"rule file {key!r} is not of the form <subject>/<filename>")
             rules = load_rule_file(root, subject, name)
-            if rules is None:
-                raise FileNotFoundError(f"no active rule file {key!r}")
-            found.append(rules)
+            if rules is not None:
+                found.append(rules)
+        if self.rule_files and not found:
+            raise FileNotFoundError(f"none of the rule files {list(self.rule_files)} is active")
         return found

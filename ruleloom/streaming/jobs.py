@@ -7,7 +7,6 @@ restarted job goes on after the last committed batch.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +24,13 @@ QUARANTINED = "quarantined"
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder for checkpoints and results under ``spark.checkpoint.dir``.
+    """A new folder for checkpoints and results that driver and executors share.
 
-    Without that setting a local session gets a temporary folder; on a cluster,
-    where a local folder would be lost with its machine, the setting is required.
+    It lies in ``spark.checkpoint.dir``, else in ``spark.sql.streaming.checkpointLocation``, else in the
+    warehouse, which Spark always has; no folder of one machine is made up.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="ruleloom-")
+    named = (spark.conf.get(key, None) for key in ("spark.checkpoint.dir", "spark.sql.streaming.checkpointLocation"))
+    base = next((b for b in named if b), None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -71,12 +66,20 @@ def finish(query: StreamingQuery) -> StreamingQuery:
 
 
 def validate_topic(
-    messages: DataFrame, routes: dict[str, Route], schema_names: dict[int, str], codec, output_topic: str, **options
+    messages: DataFrame, routes: dict[str, Route], schema_names: dict[int, str], codec, output_topic: str, *,
+    keep_partition: bool = True, quarantine_topic: str | None = None, **options
 ) -> DataFrame:
-    """Framed messages of a topic to the rows of the Kafka sink: key and partition kept, values validated."""
+    """Framed messages of a topic to the rows of the Kafka sink: key kept, values validated.
+
+    ``keep_partition`` wants topics with the same number of partitions.  With ``quarantine_topic`` messages that
+    could not be decoded or have a condition without a result go there, instead of stopping the job.
+    """
     named = name_schemas(messages, schema_names)
+    if quarantine_topic:
+        options |= {"mode": "permissive", "error_column": ERRORS}
     done = validate_routed(named, routes, payload="value", codec=codec, **options)
-    return sink_columns(done, output_topic, partition="partition")
+    topic = F.when(F.size(ERRORS) > 0, quarantine_topic).otherwise(output_topic) if quarantine_topic else output_topic
+    return sink_columns(done, topic, partition="partition" if keep_partition else None)
 
 
 def with_quarantine(df: DataFrame, rules: RuleFile, **options) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Worked examples: addresses, customers with address arrays, an order skeleton."""
+"""Worked examples: rules from files, trips with arrays of stops, a skeleton file, Avro schema text."""
+
+import json
 
 import pytest
 from conftest import details, verdict
@@ -6,52 +8,47 @@ from pyspark.sql import functions as F
 
 from ruleloom import ArrayOf, Generic, RecordOf, RuleFile, SingleTest, Step, TestSet, UnionOf, validate
 from ruleloom.operators.dryrun import sample_record, trace
-from ruleloom.sources.avro_schema import cleansed_name, schema_name, struct_type
+from ruleloom.plans.audit import AUDIT_TYPE
+from ruleloom.sources.avro_schema import audited_schema, cleansed_name, schema_name, struct_type
 from ruleloom.sources.rulefiles import TopicRule, load_rule_file, parse_rule_file, sample_values
 
-ADDRESS_FILE = """{
- "name": "address.json", "inputsubjectname": "CUSTOMER", "outputsubjectname": null, "sampletopic": null,
- "rulesteps": [{"type": "RuleStep", "fieldname": "01_CLEANSE", "rules": [
-   {"type": "PrimitiveRule", "fieldname": "POSTALCODE", "rulename": "Validate Format",
-    "condition": "POSTALCODE IS NOT NULL AND length(POSTALCODE) = 5", "iffalse": "WARN"},
-   {"type": "PrimitiveRule", "fieldname": "COUNTRY", "rulename": "Validate country not empty",
-    "condition": "COUNTRY IS NOT NULL", "iffalse": "FAIL"}]}]}"""
+# Keys, "type" names and the values of "iffalse" are the file format: fixed values.
+HIVE_FILE = """{
+ "name": "hives.json", "inputsubjectname": "HIVES", "outputsubjectname": null, "sampletopic": null,
+ "rulesteps": [{"type": "RuleStep", "fieldname": "weigh and look", "rules": [
+   {"type": "PrimitiveRule", "fieldname": "kilos", "rulename": "plausible weight",
+    "condition": "kilos IS NOT NULL AND kilos BETWEEN 5 AND 120", "iffalse": "WARN"},
+   {"type": "PrimitiveRule", "fieldname": "queen", "rulename": "queen noted",
+    "condition": "coalesce(queen IN ('seen', 'missing'), false)", "iffalse": "FAIL"}]}]}"""
 
 
 @pytest.mark.parametrize(
     "row, expected, qualities",
     [
-        (("81959", "GERMANY"), "PASS", [100, 100]),
-        (("8195", "GERMANY"), "WARN", [90, 100]),
-        (("81959", None), "FAIL", [100, 0]),
+        ((42.5, "seen"), "PASS", [100, 100]),
+        ((3.0, "missing"), "WARN", [90, 100]),
+        ((42.5, "perhaps"), "FAIL", [100, 0]),
         ((None, None), "FAIL", [90, 0]),
     ],
 )
-def test_address_file(spark, row, expected, qualities):
-    df = spark.createDataFrame([row], "POSTALCODE string, COUNTRY string")
-    out = validate(df, parse_rule_file(ADDRESS_FILE)).first()
+def test_hive_file(spark, row, expected, qualities):
+    df = spark.createDataFrame([row], "kilos double, queen string")
+    out = validate(df, parse_rule_file(HIVE_FILE)).first()
     assert verdict(out) == expected
     assert [d[3] for d in details(out)] == qualities
-    assert [d[0] for d in details(out)] == ["Validate Format", "Validate country not empty"]
-    assert [d[2] for d in details(out)] == ["POSTALCODE", "COUNTRY"]
+    assert [d[0] for d in details(out)] == ["plausible weight", "queen noted"]
+    assert [d[2] for d in details(out)] == ["kilos", "queen"]
 
 
 @pytest.fixture(scope="module")
-def customers(spark):
-    schema = (
-        "id int, firstname string, lastname string, companyname string, addresses array<struct<addresstype: string,"
-        " addressline1: string, city: string, state: string, zipcode: string, country: string>>"
-    )
-
-    def address(kind):
-        return (kind, "Main Street 34", "Montreal", None, "H1A 0A1", "CA")
-
+def trips(spark):
+    schema = "id int, driver string, licence string, garage string, stops array<struct<purpose: string, minutes: int, fee: double>>"
     return spark.createDataFrame(
         [
-            (1, "Ada", "Byron", None, [address("HOME")]),
-            (2, "Ada", "Byron", None, [address("SHIPPING"), address("ABCD")]),
-            (3, "Ada", "Byron", None, None),
-            (4, "Ada", None, "Acme", [address("home"), None]),
+            (1, "Ines", "C1", None, [("load", 20, 0.0)]),
+            (2, "Ines", "C1", None, [("break", 45, 1.5), ("swim", 5, None)]),
+            (3, "Ines", "C1", None, None),
+            (4, "Tomas", None, "north", [("LOAD", 30, 2.0), None]),
         ],
         schema,
     )
@@ -61,76 +58,68 @@ def by_id(df):
     return {r["id"]: r for r in df.collect()}
 
 
-def test_root_formulas(customers):
+def test_root_formulas(trips):
     rules = RuleFile.of(
-        "customer",
-        SingleTest("firstname", "a", "firstname IS NOT NULL"),
-        SingleTest("lastname", "b", "lastname IS NOT NULL AND length(lastname) > 10"),
-        SingleTest("lastname", "c", "lastname IS NOT NULL OR firstname IS NOT NULL"),
-        SingleTest("lastname", "d", "lastname IS NOT NULL AND get(addresses, 0).addresstype <=> 'HOME'"),
+        "trip",
+        SingleTest("driver", "driver", "driver IS NOT NULL"),
+        SingleTest("licence", "long licence", "licence IS NOT NULL AND length(licence) > 3"),
+        SingleTest("licence", "either", "licence IS NOT NULL OR garage IS NOT NULL"),
+        SingleTest("licence", "starts loading", "licence IS NOT NULL AND get(stops, 0).purpose <=> 'load'"),
     )
-    out = by_id(validate(customers, rules))
+    out = by_id(validate(trips, rules))
     assert [d[1] for d in details(out[1])] == ["PASS", "FAIL", "PASS", "PASS"]
     assert [d[1] for d in details(out[3])] == ["PASS", "FAIL", "PASS", "FAIL"]
+    assert [d[1] for d in details(out[4])] == ["PASS", "FAIL", "PASS", "FAIL"]
 
 
-def address_types():
+def purposes():
     def one(kind, extra=""):
-        return SingleTest("addresstype", kind, f"{{addresstype}} <=> '{kind}'{extra}")
+        return SingleTest("purpose", kind, f"{{purpose}} <=> '{kind}'{extra}")
 
     return TestSet(
-        "addresstype", "known type", "until_passes",
-        [
-            one("HOME", " AND {parent.parent.lastname} IS NOT NULL"),
-            one("COMPANY", " AND companyname IS NOT NULL"),
-            one("SHIPPING"),
-            one("BILLING"),
-        ],
+        "purpose", "known purpose", "until_passes",
+        [one("load", " AND {parent.parent.licence} IS NOT NULL"), one("repair", " AND garage IS NOT NULL"), one("break")],
     )
 
 
-def test_until_passes_on_elements(customers):
-    rules = RuleFile.of("customer", ArrayOf("addresses", [RecordOf(None, [address_types()])]))
-    out = by_id(validate(customers, rules))
-    assert [d[:2] for d in details(out[1])] == [("HOME", "PASS")]
+def test_until_passes_on_elements(trips):
+    rules = RuleFile.of("trip", ArrayOf("stops", [RecordOf(None, [purposes()])]))
+    out = by_id(validate(trips, rules))
+    assert [d[:2] for d in details(out[1])] == [("load", "PASS")]
     assert details(out[2]) == [
-        ("HOME", "FAIL", "addresses[0].addresstype", 0),
-        ("COMPANY", "FAIL", "addresses[0].addresstype", 0),
-        ("SHIPPING", "PASS", "addresses[0].addresstype", 100),
-        ("HOME", "FAIL", "addresses[1].addresstype", 0),
-        ("COMPANY", "FAIL", "addresses[1].addresstype", 0),
-        ("SHIPPING", "FAIL", "addresses[1].addresstype", 0),
-        ("BILLING", "FAIL", "addresses[1].addresstype", 0),
+        ("load", "FAIL", "stops[0].purpose", 0),
+        ("repair", "FAIL", "stops[0].purpose", 0),
+        ("break", "PASS", "stops[0].purpose", 100),
+        ("load", "FAIL", "stops[1].purpose", 0),
+        ("repair", "FAIL", "stops[1].purpose", 0),
+        ("break", "FAIL", "stops[1].purpose", 0),
     ]
     assert details(out[3]) == [] and verdict(out[3]) == "PASS"
 
 
-def test_verdict_by_details_and_by_sets(customers):
-    rules = RuleFile.of("customer", ArrayOf("addresses", [address_types()]))
-    only = customers.where("id = 2").withColumn("addresses", F.slice("addresses", 1, 1))
+def test_verdict_by_details_and_by_sets(trips):
+    rules = RuleFile.of("trip", ArrayOf("stops", [purposes()]))
+    only = trips.where("id = 2").withColumn("stops", F.slice("stops", 1, 1))
     assert verdict(validate(only, rules).first()) == "FAIL"
     assert verdict(validate(only, rules, verdict="sets").first()) == "PASS"
 
 
-def test_upper_case_substitute_in_elements(customers):
-    rules = RuleFile.of(
-        "customer",
-        ArrayOf("addresses", [SingleTest("addresstype", "upper", "e.addresstype <=> upper(e.addresstype)", "PASS", "upper(e.addresstype)")]),
-    )
-    out = by_id(validate(customers, rules))
-    assert [a and a["addresstype"] for a in out[4]["addresses"]] == ["HOME", None]
-    assert out[4]["addresses"][0]["city"] == "Montreal" and out[4]["addresses"][1] is None
-    assert details(out[4]) == [("upper", "PASS", "addresses[0].addresstype", 100)]
-    assert out[3]["addresses"] is None
+def test_lower_case_substitute_in_elements(trips):
+    lower = SingleTest("purpose", "lower", "e.purpose <=> lower(e.purpose)", "PASS", "lower(e.purpose)")
+    out = by_id(validate(trips, RuleFile.of("trip", ArrayOf("stops", [lower]))))
+    assert [a and a["purpose"] for a in out[4]["stops"]] == ["load", None]
+    assert out[4]["stops"][0]["minutes"] == 30 and out[4]["stops"][1] is None
+    assert details(out[4]) == [("lower", "PASS", "stops[0].purpose", 100)]
+    assert out[3]["stops"] is None
 
 
-def test_order_skeleton_has_no_tests(spark):
+def test_skeleton_file_has_no_tests(spark):
     empty = '{"type": "EmptyRule", "fieldname": "%s", "rules": null}'
-    more = '{"type": "GenericRules", "fieldname": "(more)", "rules": null}'
-    inner = ", ".join(empty % f for f in ("city", "state", "zipcode"))
-    text = f'''{{"rulesteps": [{{"type": "RuleStep", "fieldname": "next step", "rules": [{empty % "orderid"},
-      {{"type": "RecordRule", "fieldname": "address", "rules": [{inner}, {more}]}}, {more}]}}]}}'''
-    df = spark.createDataFrame([(1, ("x", "y", 2))], "orderid int, address struct<city: string, state: string, zipcode: long>")
+    more = '{"type": "GenericRules", "fieldname": "(more)", "rules": null}'  # the file format's name for further fields
+    inner = ", ".join(empty % f for f in ("degrees", "minutes"))
+    text = f'''{{"rulesteps": [{{"type": "RuleStep", "fieldname": "bake", "rules": [{empty % "batch"},
+      {{"type": "RecordRule", "fieldname": "oven", "rules": [{inner}, {more}]}}, {more}]}}]}}'''
+    df = spark.createDataFrame([(7, (220, 35.5))], "batch int, oven struct<degrees: int, minutes: double>")
     out = validate(df, parse_rule_file(text)).first()
     assert verdict(out) == "PASS" and details(out) == []
 
@@ -187,7 +176,7 @@ def test_unknown_rule_type():
         parse_rule_file('{"rulesteps": [{"fieldname": "s", "rules": [{"type": "Other"}]}]}')
 
 
-AVRO = """{"type": "record", "name": "ADDRESS", "namespace": "crm", "fields": [
+AVRO = """{"type": "record", "name": "PARCEL", "namespace": "post", "fields": [
  {"name": "__change_type", "type": {"type": "string", "logicalType": "VARCHAR", "length": 1}},
  {"name": "__change_time", "type": {"type": "long", "logicalType": "timestamp-millis"}},
  {"name": "__extension", "type": ["null", {"type": "array", "items": {"type": "record", "name": "__extension", "fields": [
@@ -208,7 +197,53 @@ def test_avro_schema_text():
         "tags:map<string,double>,price:decimal(9,2),hash:binary>"
     )
     assert [f.nullable for f in struct_type(AVRO).fields] == [False, False, True, True, False, True, False, False, False]
-    assert schema_name(AVRO) == "crm.ADDRESS" and cleansed_name("ADDRESS") == "ADDRESS_CLEANSED"
+    assert schema_name(AVRO) == "post.PARCEL" and cleansed_name("PARCEL") == "PARCEL_CLEANSED"
+
+
+def test_avro_names_and_namespaces():
+    text = """{"type": "record", "name": "a.Outer", "fields": [
+      {"name": "k", "type": {"type": "enum", "name": "K", "symbols": ["X"]}}, {"name": "same", "type": "a.K"}, {"name": "short", "type": ["null", "K"]},
+      {"name": "in", "type": {"type": "record", "name": "Inner", "namespace": "b", "fields": [
+        {"name": "far", "type": "a.K"}, {"name": "own", "type": {"type": "fixed", "name": "F", "size": 2}}, {"name": "again", "type": "F"}]}},
+      {"name": "last", "type": "b.F"}]}"""
+    assert struct_type(text).simpleString() == (
+        "struct<k:string,same:string,short:string,in:struct<far:string,own:binary,again:binary>,last:binary>"
+    )
+    with pytest.raises(ValueError, match="contains itself"):
+        struct_type('{"type": "record", "name": "R", "fields": [{"name": "next", "type": ["null", "R"]}]}')
+    with pytest.raises(ValueError, match="unknown"):
+        struct_type('{"type": "record", "name": "a.R", "fields": [{"name": "x", "type": "b.K"}]}')
+
+
+def test_schema_of_validated_records():
+    text = '{"type": "record", "name": "R", "namespace": "x", "fields": [{"name": "v", "type": "int"}]}'
+    out = audited_schema(text)
+    assert schema_name(out) == "x.R_CLEANSED" and schema_name(text) == "x.R"
+    assert struct_type(out)["__audit"].dataType.simpleString() == AUDIT_TYPE.simpleString() and struct_type(out)["__audit"].nullable
+    assert len(json.loads(audited_schema(out))["fields"]) == 2
+
+
+def test_permissive_mode_goes_on_after_runtime_errors(spark):
+    df = spark.createDataFrame([(0, "a"), (2, "b"), (None, "c")], "v int, t string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    for formula in ("10 / v > 1", "CAST(t AS INT) > 0 OR v = 2", "array(1)[v] > 0 OR v = 2"):
+        out = validate(df, RuleFile.of("x", SingleTest("v", "r", formula)), mode="permissive", error_column="e").collect()
+        assert [r["e"] for r in out] == [["r"] if formula[0] != "a" else [], [], ["r"]], formula
+    assert spark.conf.get("spark.sql.ansi.enabled") == before
+
+
+def test_permissive_substitutes_keep_the_value(spark):
+    df = spark.createDataFrame([(5, "x")], "v int, t string")
+    rules = RuleFile.of("x", SingleTest("v", "r", "v > 9", "WARN", "concat('n', t)"))
+    out = validate(df, rules, mode="permissive", error_column="e").first()
+    assert (out["v"], out["e"], verdict(out)) == (5, ["r"], "FAIL")
+    row = trace(df, rules, ["t"]).first()
+    assert (row["input"], row["output"], row["result"]) == ("5", "5", "FAIL") and "old one stays" in row["error"]
+    blank = RuleFile.of("x", SingleTest("v", "r", "v > 9", "WARN", "nullif(v, 5)"))
+    out = validate(df, blank, mode="permissive", error_column="e").first()
+    assert (out["v"], out["e"], verdict(out)) == (None, [], "WARN")
+    with pytest.raises(ValueError, match="already"):
+        validate(df, rules, mode="permissive", error_column="v")
 
 
 def test_change_types_and_existing_audit(spark):
@@ -253,7 +288,7 @@ def test_strict_null_condition_stops(spark):
         SingleTest("v", "r", "v > 0"),
         TestSet("v", "s", "until_passes", [SingleTest("v", "r", "v > 0"), SingleTest("v", "q", "true")]),
     ):
-        with pytest.raises(Exception, match="does not return true/false"):
+        with pytest.raises(Exception, match="neither true nor false"):
             validate(df, RuleFile.of("t", rule)).collect()
 
 

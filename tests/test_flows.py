@@ -9,14 +9,15 @@ from pyspark.sql import types as T
 
 from ruleloom import RuleFile, SingleTest, Step, validate
 from ruleloom.operators.reports import verdict_trend, write_split
-from ruleloom.operators.routing import Route, validate_routed
+from ruleloom.operators.routing import UNDECODABLE, FramedAvro, FramedJson, Route, name_schemas, validate_routed
 from ruleloom.operators.sampling import sample_payload, sample_recent
 from ruleloom.session import SETTINGS, tune
 from ruleloom.sources import kafka
 from ruleloom.sources.records import align, frame, from_json, split_frame, to_json
 from ruleloom.sources.rulefiles import TopicRule
 from ruleloom.streaming.jobs import ERRORS, finish, read_files, validate_topic, with_quarantine, work_folder, write_files
-from ruleloom.streaming.metrics import StreamStatus, observe_verdicts
+from ruleloom.streaming.metrics import StreamMetrics, observe_verdicts
+from ruleloom.streaming.topic_job import plan_topic, recent_messages, topic_routes, with_schema
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 RULES = RuleFile.of(
@@ -91,16 +92,6 @@ def test_routing_scans_once_and_does_not_shuffle(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
-class FramedJson:
-    """Stands in for framed Avro, whose package is not at hand."""
-
-    def decode(self, payload, name, schema, permissive):
-        return F.from_json(F.substring(payload, 6, 1000).cast("string"), schema)
-
-    def encode(self, record, name):
-        return frame(F.lit(9), F.to_json(record).cast("binary"))
-
-
 def test_topic_messages(spark):
     body = F.to_json(F.struct("id")).cast("binary")
     framed = spark.range(3).select(
@@ -108,7 +99,8 @@ def test_topic_messages(spark):
         F.lit("in").alias("topic"), F.lit(4).alias("partition"), F.col("id").alias("offset"),
     )
     routes = {"A": Route(RuleFile.of("a", SingleTest("id", "r", "id > 5", "WARN")), T.StructType().add("id", "long"))}
-    out = validate_topic(framed, routes, {7: "A", 8: "B"}, FramedJson(), "out")
+    codec = FramedJson({7: ("A", routes["A"].schema), 9: ("A", routes["A"].schema)}, {"A": 9})
+    out = validate_topic(framed, routes, {7: "A", 8: "B"}, codec, "out")
     assert out.columns == ["key", "value", "topic", "partition"]
     rows = out.collect()
     changed = [json.loads(bytes(r["value"])[5:]) for r in rows]
@@ -118,6 +110,113 @@ def test_topic_messages(spark):
     assert {(r["topic"], r["partition"]) for r in rows} == {("out", 4)}
 
 
+def test_routing_keeps_unknown_fields(spark):
+    df = spark.createDataFrame([("A", '{"v":1,"extra":{"a":[1,"x"]},"text":"5"}'), ("A", '{"v":2}')], "schema_name string, payload string")
+    routes = {"A": Route(RuleFile.of("a", SingleTest("v", "r", "v > 0")), T.StructType().add("v", "integer"))}
+    first, second = (json.loads(r["payload"]) for r in validate_routed(df, routes).collect())
+    assert (first["v"], first["extra"], first["text"]) == (1, {"a": [1, "x"]}, "5") and "extra" not in second
+    with pytest.raises(Exception, match="extra"):
+        validate_routed(df, routes, unknown="refuse").collect()
+    held = validate_routed(df, routes, unknown="refuse", mode="permissive", error_column="e").collect()
+    assert held[0]["e"] == [UNDECODABLE] and held[0]["payload"] == df.first()["payload"] and held[1]["e"] == []
+    assert "extra" not in validate_routed(df, routes, unknown="drop").first()["payload"]
+
+
+def test_routing_keeps_what_it_cannot_decode(spark):
+    broken = ["{broken", '{"v":"notint","keep":"me"}', "null", "[]"]
+    df = spark.createDataFrame([("A", p) for p in [*broken, '{"v":5}']], "schema_name string, payload string")
+    routes = {"A": Route(RuleFile.of("a", SingleTest("v", "r", "10 / v > 1")), T.StructType().add("v", "integer"))}
+    out = validate_routed(df, routes, mode="permissive", error_column="errors", flag="routed").collect()
+    assert [r["payload"] for r in out[:4]] == broken and [r["routed"] for r in out] == [False] * 4 + [True]
+    assert [r["errors"] for r in out] == [[UNDECODABLE]] * 4 + [[]]
+    for name in ("payload", "routed"):
+        with pytest.raises(ValueError, match="already"):
+            validate_routed(df.withColumn("routed", F.lit(1)), routes, mode="permissive", error_column=name)
+
+
+def test_routes_with_names_that_differ_in_case(spark):
+    df = spark.createDataFrame([("A", '{"Id":1}'), ("B", '{"id":2}')], "schema_name string, payload string")
+    routes = {n: Route(RuleFile.of(n, SingleTest(f, "r", f"{f} > 1")), T.StructType().add(f, "integer")) for n, f in (("A", "Id"), ("B", "id"))}
+    out = [json.loads(r["payload"]) for r in validate_routed(df, routes).collect()]
+    assert (out[0]["Id"], out[0]["__audit"]["__transformresult"], out[1]["id"], out[1]["__audit"]["__transformresult"]) == (1, "FAIL", 2, "PASS")
+
+
+def test_schema_versions_of_one_topic(spark):
+    old, new = T.StructType().add("id", "integer"), T.StructType().add("name", "string").add("id", "long")
+    target = T.StructType().add("id", "long").add("name", "string")
+    rows = [(1, '{"id":1}'), (2, '{"name":"x","id":2}'), (3, '{"id":3}'), (1, "{broken")]
+    df = spark.createDataFrame(rows, "n int, body string").select(frame(F.col("n"), F.col("body").cast("binary")).alias("value"))
+    codec = FramedJson({1: ("A", old), 2: ("A", new)}, {"A": 9}, {"A": {"name": "none"}})
+    routes = {"A": Route(RuleFile.of("a", SingleTest("name", "r", "name <> 'none'", "WARN")), target)}
+    out = validate_routed(name_schemas(df, {1: "A", 2: "A"}), routes, payload="value", codec=codec, mode="permissive", error_column="e").collect()
+    first, second = (json.loads(bytes(r["value"])[5:]) for r in out[:2])
+    assert (first["id"], first["name"], first["__audit"]["__transformresult"]) == (1, "none", "WARN")
+    assert (second["id"], second["name"], second["__audit"]["__transformresult"]) == (2, "x", "PASS")
+    assert bytes(out[2]["value"]) == b'\x00\x00\x00\x00\x03{"id":3}' and out[2]["schema_name"] is None
+    assert bytes(out[3]["value"])[5:] == b"{broken" and [r["e"] for r in out] == [[], [], [], [UNDECODABLE]]
+
+
+def test_framed_avro_uses_the_writers_schema(spark, monkeypatch):
+    calls = []
+
+    class Avro:
+        @staticmethod
+        def from_avro(body, schema, options):
+            calls.append((json.loads(schema)["fields"], options["avroSchema"]))
+            return F.from_json(body.cast("string"), "v int")
+
+        @staticmethod
+        def to_avro(record, schema):
+            calls.append(json.loads(schema)["name"])
+            return F.to_json(record).cast("binary")
+
+    monkeypatch.setattr("ruleloom.operators.routing.avro_functions", lambda: Avro)
+    writers = {n: json.dumps({"type": "record", "name": "x.R", "fields": [{"name": "v", "type": t}]}) for n, t in ((1, "int"), (2, "long"))}
+    reader = writers[2]
+    df = spark.createDataFrame([(1, '{"v":1}'), (2, '{"v":2}')], "n int, body string")
+    df = df.select(frame(F.col("n"), F.col("body").cast("binary")).alias("value"), F.lit("x.R").alias("schema_name"))
+    routes = {"x.R": Route(RuleFile.of("r", SingleTest("v", "t", "v > 1")), T.StructType().add("v", "integer"), reader)}
+    out = validate_routed(df, routes, payload="value", codec=FramedAvro(writers, {"x.R": 7})).collect()
+    assert [json.loads(bytes(r["value"])[5:])["__audit"]["__transformresult"] for r in out] == ["FAIL", "PASS"]
+    assert calls == [([{"name": "v", "type": "int"}], reader), ([{"name": "v", "type": "long"}], reader), "x.R_CLEANSED"]
+
+
+def test_topic_job_from_settings(spark, tmp_path):
+    avro = json.dumps({"type": "record", "name": "R", "namespace": "x", "fields": [{"name": "v", "type": "int"}]})
+    file = {"schema": avro, "rulesteps": [{"fieldname": "step", "rules": [
+        {"type": "PrimitiveRule", "fieldname": "v", "rulename": "positive", "condition": "10 / v > 0", "iffalse": "FAIL"}]}]}
+    (tmp_path / "s/active").mkdir(parents=True)
+    (tmp_path / "s/active/one.json").write_text(json.dumps(file))
+    rule = TopicRule("in", "out", ("s/one.json", "s/not active.json"))
+    routes = topic_routes(rule, tmp_path)
+    assert list(routes) == ["x.R"] and routes["x.R"].schema == T.StructType([T.StructField("v", T.IntegerType(), False)])
+    with pytest.raises(FileNotFoundError):
+        topic_routes(TopicRule("in", "out", ("s/not active.json",)), tmp_path)
+    rows = [(4, '{"v":1}', 0), (4, '{"v":0}', 1), (4, "{", 2), (5, "other", 3)]
+    messages = spark.createDataFrame(rows, "n int, body string, offset long").select(
+        F.lit(b"k").alias("key"), frame(F.col("n"), F.col("body").cast("binary")).alias("value"), F.lit("in").alias("topic"), F.lit(2).alias("partition"), "offset"
+    )
+    messages.write.parquet(f"{tmp_path}/topic")
+    codec = FramedJson({4: ("x.R", routes["x.R"].schema)}, {"x.R": 6})
+    stream = read_files(spark, f"{tmp_path}/topic", messages.schema)
+    options = {"quarantine_topic": "bad", "input_partitions": 3}
+    out = plan_topic(stream, rule, routes, {4: "x.R"}, codec, output_partitions=3, **options)
+    assert "partition" in out.columns
+    assert "partition" not in plan_topic(stream, rule, routes, {4: "x.R"}, codec, output_partitions=5, **options).columns
+    finish(write_files(out, f"{tmp_path}/out", f"{tmp_path}/c"))
+    got = {bytes(r["value"])[5:12]: r["topic"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {b'{"v":1,': "out", b'{"v":0,': "bad", b"{": "bad", b"other": "out"}
+
+
+def test_recent_messages_with_subject_and_schema(spark):
+    df = spark.range(40).select(
+        F.lit("t").alias("topic"), (F.col("id") % 2).cast("int").alias("partition"), F.col("id").alias("offset"), frame((F.col("id") % 3).cast("int"), F.lit(b"x")).alias("value")
+    )
+    rows = with_schema(recent_messages(df, last=2), {0: ("s-value", "{}")}).collect()
+    assert [r["offset"] for r in rows] == [38, 39, 36, 37]
+    assert [(r["subject"], r["schema"]) for r in rows] == [(None, None), ("s-value", "{}"), ("s-value", "{}"), (None, None)]
+
+
 # -- streams -------------------------------------------------------------------
 
 
@@ -147,10 +246,12 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
 def test_strict_stream_fails_and_keeps_the_error(spark, tmp_path):
     events, path = event_parts(spark, tmp_path)
     bad = RuleFile.of("events", SingleTest("value", "r", "nullif(value, value) > 0"))
+    metrics = StreamMetrics(spark)
     query = write_files(validate(read_files(spark, path, events.schema), bad), f"{tmp_path}/out", f"{tmp_path}/c")
-    with pytest.raises(Exception, match="does not return true/false"):
+    with pytest.raises(Exception, match="neither true nor false"):
         finish(query)
-    assert "true/false" in StreamStatus().update(query).error
+    assert "neither true" in metrics.final(query).error
+    metrics.close()
 
 
 def test_quarantine_parts_rows_in_one_write(spark, tmp_path):
@@ -167,8 +268,14 @@ def test_quarantine_parts_rows_in_one_write(spark, tmp_path):
 def test_metrics(spark, tmp_path):
     events, path = event_parts(spark, tmp_path)
     stream = observe_verdicts(validate(read_files(spark, path, events.schema, max_files_per_trigger=1), RULES, details="none"))
-    query = finish(write_files(stream, f"{tmp_path}/out", f"{tmp_path}/c"))
-    status = StreamStatus().update(query).update(query)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)  # fewer than there are batches
+    metrics = StreamMetrics(spark)
+    try:
+        status = metrics.final(finish(write_files(stream, f"{tmp_path}/out", f"{tmp_path}/c")))
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        metrics.close()
+    assert status.batches == 3
     assert status.rows == events.count() == status.passed + status.warned + status.failed
     assert status.failed == events.where("event_type = 'error'").count()
     assert status.rows_per_second > 0 and status.ms_per_row > 0 and status.error is None
@@ -207,7 +314,7 @@ def test_frames(spark):
     parts = split_frame(framed).collect()
     assert [(r["schema_id"], bytes(r["body"])) for r in parts] == [(2**31 - 1, b"body"), (1, b"")]
     for bad in (b"\x01\x00\x00\x00\x01x", b"\x00\x00"):
-        with pytest.raises(Exception, match="magic byte"):
+        with pytest.raises(Exception, match="zero byte"):
             split_frame(spark.createDataFrame([(bytearray(bad),)], "value binary")).collect()
     assert split_frame(spark.createDataFrame([(None,)], "value binary")).first()["schema_id"] is None
 
@@ -231,7 +338,9 @@ def test_sample_recent_with_a_dominant_partition(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id") % 20 + 1).cast("int").alias("p"), "id")
     sample = sample_recent(df, ["p"], "id")
     rows = sample.collect()
-    assert len(rows) == 100 and [r["id"] for r in rows[:10]] == list(range(899, 889, -1))
+    assert len(rows) == 100 and rows[0]["id"] == 899
+    # 21 partitions: each gives its four newest before any gives more
+    assert sum(r["p"] == 0 for r in rows) == 5 and len({r["p"] for r in rows}) == 21
     assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
     payload = sample_payload(sample.withColumn("t", F.lit("topic")), "t", "p", "id", ["p", "id"]).first()
     assert payload["filename"] == "partition_0_offset_899.json" and json.loads(payload["payload"]) == {"p": 0, "id": 899}

@@ -22,6 +22,8 @@ CASES = [
     (fx.matches("'b'", "a|b"), True),
     (fx.matches("'xb'", "a|b"), False),
     (fx.member("2", "array(1, 2)"), True),
+    (fx.matches("'abc\\n'", "abc"), False),
+    (fx.find("array(named_struct('a b', 1, 'n', 5), named_struct('a b', 2, 'n', 6))", "a b", "2") + ".n", 6),
     (fx.index_of("'hello'", "'l'"), 2),
     (fx.index_of("'hello'", "'z'"), -1),
     (fx.char_at("'hello'", "1"), "e"),
@@ -41,3 +43,8 @@ CASES = [
 @pytest.mark.parametrize("text, expected", CASES)
 def test_formula(spark, text, expected):
     assert spark.range(1).selectExpr(f"{text} AS v").first()["v"] == expected
+
+
+def test_find_does_not_hide_columns(spark):
+    df = spark.createDataFrame([(2, [(1, "x"), (2, "y")])], "f int, l array<struct<k: int, t: string>>")
+    assert df.selectExpr(fx.find("l", "k", "f") + ".t").first()[0] == "y"

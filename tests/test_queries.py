@@ -4,10 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_module
+from catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +24,7 @@ def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["o_orderkey", "rule", "result", "text", "quality"]
     assert df.count() == 3 * spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+
+
+def test_entry_module_has_every_query():
+    assert QUERIES.keys() <= entry_module.queries().keys() and ORACLES.keys() <= entry_module.oracle_sql().keys()
