@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -35,10 +36,15 @@ def wide_rules(count: int) -> RuleFile:
     return RuleFile.of("lineitem", *tests)
 
 
+COPY = tempfile.mkdtemp(prefix="bench-") + "/lineitem"
+
+
 def wide_queries():
     def plain(spark, folder):
-        return spark.read.parquet(f"{folder}/lineitem.parquet")
+        return spark.read.parquet(COPY)
 
+    # The nine wide queries read the same copy of the table, in as many files as there are cores: the given one is a
+    # single row group, which only one task could read.
     for count in (10, 50, 200):
         rules = wide_rules(count)
         yield f"details_{count}_rules", lambda s, d, r=rules: validate(plain(s, d), r)
@@ -60,6 +66,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = {name: QUERIES[name] for name in FROM_CATALOG} | dict(wide_queries())
+    spark.read.parquet(f"{folder}/lineitem.parquet").repartition(int(cpus)).write.parquet(COPY)
     seconds = {}
     for name, query in queries.items():
         for _ in range(2):
