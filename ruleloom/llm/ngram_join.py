@@ -20,7 +20,7 @@ MAX_HASHES = 128
 # A block of one bucket: so many documents or n-grams on average.  Two blocks are compared at a time.
 BLOCK_DOCS = 512
 BLOCK_GRAMS = 200_000
-SIEVE_BITS = 1 << 23
+SIEVE_BITS, NODE_SIEVE_BITS = 1 << 23, 1 << 25
 COLUMNS = 4096
 
 
@@ -185,30 +185,40 @@ def ngram_join(
     each = each.filter(mark != F.unhex(F.lit("00" * 8))).select("node", "band", F.xxhash64("band", mark).alias("bucket"))
     full = each.groupBy("bucket").count().filter("count > 1").select("bucket")
     bits = stored(sieve(full, "bucket", SIEVE_BITS), "join-sieve").scalar()
-    members = stored(each.filter(passes(bits, F.col("bucket"), SIEVE_BITS)), "join-members")
-
-    named = stored(sieve(members.select("node").distinct(), "node", SIEVE_BITS), "join-sieve").scalar()
-    again = slim.filter(passes(named, F.col("node"), SIEVE_BITS)).dropDuplicates(["node"]).select("node", "word")
-    grams = stored(again.mapInArrow(expand, "node long, grams binary"), "join-grams")
-    weights = stored(grams.select("node", (F.length("grams") / 8).cast("long").alias("weight")), "join-weights")
-
+    likely = stored(each.filter(passes(bits, F.col("bucket"), SIEVE_BITS)), "join-likely")
+    # The sieve lets single nodes through: the counts are taken again, and of buckets with the same members the first band's stays.
     buckets = (
-        members.join(weights, "node").groupBy("bucket", "band")
+        likely.groupBy("bucket", "band")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"),
-            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum1"),
+            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum1"),
             F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("sum2"),
         )
         .filter("n > 1")
-        .groupBy("n", "sum1", "sum2").agg(F.min(F.struct("band", "bucket", "weight")).alias("b"))
-        .select("b.bucket", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("b.weight") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+        .groupBy("n", "sum1", "sum2").agg(F.min(F.struct("band", "bucket")).alias("b"))
+        .select("b.bucket")
+    )
+    members = stored(likely.join(stored(buckets, "join-buckets"), "bucket"), "join-members")
+
+    # One document of each node in a bucket is read again: the one with the node's smallest id.
+    wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node")
+    wanted = wanted.select(F.xxhash64("node", "least").alias("key"))
+    named = stored(sieve(wanted, "key", NODE_SIEVE_BITS), "join-sieve").scalar()
+    again = slim.filter(passes(named, F.xxhash64("node", "doc_id"), NODE_SIEVE_BITS)).select("node", "word")
+    grams = stored(again.mapInArrow(expand, "node long, grams binary").withColumn("tag", F.monotonically_increasing_id()), "join-grams")
+    # Repeated rows of one id give the same n-grams twice; one of them counts.
+    once = grams.groupBy("node").agg(F.min(F.struct("tag", (F.length("grams") / 8).alias("weight"))).alias("one"))
+    once = stored(once.select("node", F.col("one.tag").alias("chosen"), F.col("one.weight").cast("long").alias("weight")), "join-weights")
+
+    sizes = members.join(once, "node").groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("weight") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
-    buckets = stored(buckets, "join-buckets")
+    sizes = stored(sizes, "join-sizes")
     block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    placed = members.join(buckets, "bucket").withColumn("block", block)
+    placed = members.join(sizes, "bucket").withColumn("block", block)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("bucket", "band", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    content = grams.join(nodes.select("node", "marks", "copies"), "node")
+    about = nodes.select("node", "marks", "copies").join(once.select("node", "chosen"), "node")
+    content = grams.join(about, "node").filter("tag = chosen").drop("tag", "chosen")
     work = placed.join(content, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
