@@ -51,16 +51,24 @@ def forward_backward(emission: np.ndarray, inside: np.ndarray, transition: np.nd
 
 
 def viterbi(emission: np.ndarray, inside: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """The most likely states of each chain."""
-    steps, chains, _ = emission.shape
-    score, came = emission[0].copy(), np.zeros(emission.shape, np.int8)
+    """The most likely states of each chain; of equal ones the first."""
+    steps, chains, states = emission.shape
+    # One long vector per state: maxima over a handful of states are taken vector by vector.
+    score, came = np.ascontiguousarray(emission[0].T), np.zeros((steps, states, chains), np.int8)
     for t in range(1, steps):
-        ways = score[:, :, None] + transition[None]
-        came[t] = ways.argmax(1)
-        score = np.where(inside[t][:, None], ways.max(1) + emission[t], score)
+        now, here = np.ascontiguousarray(emission[t].T), inside[t]
+        new = np.empty_like(score)
+        for to in range(states):
+            best = score[0] + transition[0, to]
+            for of in range(1, states):
+                way = score[of] + transition[of, to]
+                came[t, to][way > best] = of
+                np.maximum(best, way, out=best)
+            new[to] = best + now[to]
+        score = np.where(here, new, score)
     path = np.empty((steps, chains), np.int8)
-    state, every = score.argmax(1), np.arange(chains)
+    state, every = score.argmax(0), np.arange(chains)
     for t in range(steps - 1, -1, -1):
         path[t] = state
-        state = np.where(inside[t], came[t][every, state], state)
+        state = np.where(inside[t], came[t][state, every], state)
     return path

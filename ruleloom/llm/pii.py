@@ -18,8 +18,10 @@ from .common import session, text_of
 KINDS = ("email", "ip", "card", "phone")
 # States of the chain: outside, and within a span of each kind.
 STATES = ("other", *KINDS)
-# A chain ends at the first plain word after so many tokens; no span crosses a plain word's end unseen there.
+# A chain ends before the first token without digit and @ after so many tokens: such a token is in no span, as every kind needs one of them.
 CHAIN = 48
+# Chains are decoded together up to so many steps in all, padding included.
+TOGETHER = 200_000
 KEPT_TOKENS = 300_000
 
 # Fixed values of the base patterns.  Possessive runs and the look-behind find the same matches without trying a long run of digits again
@@ -31,6 +33,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+_SAME = re.compile(r"([^\w\s])\1+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[0-9]+")
+_SPANNED = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -139,13 +145,21 @@ def _split(line: str) -> tuple[list[str], list[int]]:
     return tokens, labels
 
 
+ENDS = ".,;:!?"
+
+
+def _few(marks: str) -> str:
+    return _SAME.sub(r"\1\1", marks) if len(marks) > 1 else marks
+
+
 def shape(token: str) -> str:
     """Letters become x or X, digits d with the length of their run, other characters stay; long runs are shortened."""
-    if token.isalpha():
-        return "x" if token.islower() else "X" if token.isupper() else "Xx"
-    out = re.sub(r"[^\W\d_]+", lambda m: "X" if m.group().isupper() else "x", token)
-    out = re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 20)}", out)
-    return re.sub(r"([^\w\s])\1+", r"\1\1", out)[:60]
+    word = token.rstrip(ENDS)
+    if word.isalpha():  # most tokens, and the same as what the patterns below give
+        return ("X" if word.isupper() else "x" if len(word) < len(token) or word.islower() else "Xx") + _few(token[len(word) :])
+    out = _LETTERS.sub(lambda m: "X" if m.group().isupper() else "x", token)
+    out = _RUN.sub(lambda m: f"d{min(len(m.group()), 20)}", out)
+    return _few(out)[:60]
 
 
 def shape_features(own: str) -> list[str]:
@@ -186,6 +200,8 @@ class Tagger:
 
     def shape_id(self, own: str) -> int:
         if (n := self.shapes.get(own)) is None:
+            if len(self.shapes) >= KEPT_TOKENS:
+                self.shapes, self.table, self.known = {"": 0}, np.zeros((3, 1, len(STATES)), np.float32), {}
             n = self.shapes[own] = len(self.shapes)
             ids = [self.names[f] for f in shape_features(own) if f in self.names]
             if n >= self.table.shape[1]:
@@ -193,18 +209,20 @@ class Tagger:
             self.table[:, n] = self.weights[:, ids].sum(1)
         return n
 
+    def plain(self) -> np.ndarray:
+        """For each shape whether it has neither digit nor @."""
+        return np.array([not _SPANNED.search(s) for s in self.shapes])
+
     def ids(self, tokens: list[str]) -> list[int]:
         known = self.known
-        try:
-            return [known[t] for t in tokens]
-        except KeyError:
-            if len(known) > KEPT_TOKENS:
-                known.clear()
-                self.shapes, self.table = {"": 0}, np.zeros((3, 1, len(STATES)), np.float32)
-            for t in tokens:
-                if t not in known:
-                    known[t] = self.shape_id(shape(t))
-            return [known[t] for t in tokens]
+        found = list(map(known.get, tokens))
+        for n, number in enumerate(found):
+            if number is None:
+                token = tokens[n]
+                found[n] = self.shape_id(shape(token))
+                if len(known) < KEPT_TOKENS:  # tokens come in a long tail: the frequent ones are met early
+                    known[token] = found[n]
+        return found
 
     def emissions(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         before, after = np.concatenate([[0], ids[:-1]]), np.concatenate([ids[1:], [0]])
@@ -308,12 +326,12 @@ def tag(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     if not len(ends) or not ends[-1]:
         return found
     ids = np.array(tagger.ids([t for tokens in split for t in tokens]), np.int64)
-    words = np.array([tagger.shapes.get(s, -1) for s in ("x", "X", "Xx")])
     states = np.zeros(len(ids), np.int8)
     scores = tagger.emissions(ids, ends)
-    at, length = _chains(np.isin(ids, words), ends)
-    order = np.argsort(length, kind="stable")
-    for group in np.array_split(order, max(1, len(order) // 2048)):
+    at, length = _chains(tagger.plain()[ids], ends)
+    order = np.argsort(-length, kind="stable")
+    while len(order):
+        group, order = np.split(order, [max(1, TOGETHER // int(length[order[0]]))])
         index, inside = padded(at[group], length[group], int(length[group].max()))
         path = viterbi(scores[index], inside, tagger.transition)
         states[index[inside]] = path[inside]
@@ -340,11 +358,12 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Null and empty texts have no spans.  Rows that repeat, and rows without an id, give a row each; other columns are not read.
     """
     session(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted())
+    # The tagger stays in the worker from task to task, with the shapes of the tokens it has met.
+    shared = docs.sparkSession.sparkContext.broadcast(Tagger(*fitted()))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(*shared.value)
+        tagger = shared.value
         for batch in batches:
             texts, columns = batch.column("body").to_pylist(), ([], [])
             for text, more in zip(texts, tag(texts, tagger), strict=True):
