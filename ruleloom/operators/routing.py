@@ -178,12 +178,13 @@ def validate_routed(
 
 
 def _one_route(records, name, route, schema_column, payload, codec, unknown, permissive, options) -> DataFrame:
-    carried = [quote(c) for c in records.columns]
+    outer = records.columns
+    carried = [quote(c) for c in outer]
     own = f"{quote(schema_column)} <=> {literal(name)} AND {quote(payload)} IS NOT NULL"
     parsed = codec.decode(F.col(quote(payload)), name, route, permissive)
     sound, extra = F.col("__rt_record").isNotNull(), None
-    if permissive:
-        sound = sound & F.col(f"__rt_record.{_CORRUPT}").isNull() if not isinstance(codec, FramedAvro) else sound
+    if permissive and not isinstance(codec, FramedAvro):
+        sound = sound & F.col(f"__rt_record.{_CORRUPT}").isNull()
     text = codec.text(F.col(quote(payload)))
     helpers = [F.when(F.expr(own), parsed).alias("__rt_record")]
     if text is not None and unknown != "drop":
@@ -211,13 +212,15 @@ def _one_route(records, name, route, schema_column, payload, codec, unknown, per
     if extra is not None and unknown == "carry":
         encoded = F.when(F.size("__rt_extra") > 0, _carry(codec, encoded, text, name)).otherwise(encoded)
     broken = F.col("__rt_own") & ~F.col("__rt_go")
-    errors = F.when(F.col("__rt_go"), F.col("__rt_names")).when(broken, F.array(F.lit(UNDECODABLE))).otherwise(F.col("__rt_errors")) if permissive else F.col("__rt_errors")
+    errors = F.col("__rt_errors")
+    if permissive:
+        errors = F.when(F.col("__rt_go"), F.col("__rt_names")).when(broken, F.array(F.lit(UNDECODABLE))).otherwise(errors)
     changed = {
         payload: F.when(F.col("__rt_go"), encoded).otherwise(F.col(quote(payload))),
         "__rt_applied": F.col("__rt_applied") | F.coalesce("__rt_go", F.lit(False)),
         "__rt_errors": errors,
     }
-    return done.select(*[changed[c].alias(c) if c in changed else F.col(quote(c)) for c in (x[1:-1].replace("``", "`") for x in carried)])
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(quote(c)) for c in outer])
 
 
 def _carry(codec, encoded: Column, text: Column, name: str) -> Column:
