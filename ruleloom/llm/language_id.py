@@ -22,7 +22,7 @@ WIDTH = 24
 SAMPLE = 120
 LEXICON = 20_000
 STEPS = 30
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
