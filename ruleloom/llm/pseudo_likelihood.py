@@ -19,8 +19,8 @@ from .common import session, stored, text_of, words_of
 # Words that have an id of their own, and how many of them are a class of their own; all others are classed by their last two letters.
 VOCABULARY, OWN_CLASSES, ENDINGS = 8192, 64, 32
 AROUND, HIDDEN = 2, 16
-# Training takes every fourth place of every text, another one in each round.
-STRIDE, ROUNDS, BATCH, RATE = 4, 2, 16_384, 0.1
+# Each round trains on every ROUNDS-th place of every text, beginning one place later, so that all rounds together take every place once.
+ROUNDS, BATCH, RATE = 2, 16_384, 0.1
 # Parameters travel in blocks; models are averaged in two steps, so that no task gets more than so many per block.
 BLOCK, SALTS = 1 << 16, 64
 _WORD = re.compile(r"[^\W_]+")
@@ -141,7 +141,7 @@ def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def train(encoded: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after some rounds: every task goes once over its texts from the shared state, then the tasks' models are
+    """Parameters after some rounds: every task goes over its texts from the shared state, then the tasks' models are
     averaged, weighted by their numbers of places."""
     spark, flat = encoded.sparkSession, Network(len(words.of), words.prior).flat
     for nth in range(rounds):
@@ -163,7 +163,7 @@ def train(encoded: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.nda
             for batch in batches:
                 centre, around = windows(_ids(batch)) if batch.num_rows else (np.empty(0), np.empty((2 * AROUND, 0)))
                 if len(centre):
-                    waiting.append((centre[nth::STRIDE], around[:, nth::STRIDE]))
+                    waiting.append((centre[nth::rounds], around[:, nth::rounds]))
                     held += len(waiting[-1][0])
                 if held >= BATCH:
                     flush()
