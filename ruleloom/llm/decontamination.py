@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import passes, session, sieve, stored, text_of, word_hashes
 
-# A seed spans this many words; mask k ignores the positions p with p % 3 == k, so it compares 8 of 12 words.
+# A seed spans this many words; a mask ignores the positions of two residues modulo 4, so it compares 6 of 12 words.
+# Wherever two words are substituted, one mask ignores both.
 SPAN = 12
-MASKS = 3
+IGNORED = list(combinations(range(4), 2))
+MASKS = len(IGNORED)
 # A window is contaminated if so many of its words agree with a benchmark window, in place.
 AGREE = 10
 SIEVE_BITS = 1 << 22
 
 
 def _masked(word: list[Column], k: int) -> Column:
-    return F.xxhash64(F.lit(k), *(w for p, w in enumerate(word) if p % MASKS != k))
+    return F.xxhash64(F.lit(k), *(w for p, w in enumerate(word) if p % 4 not in IGNORED[k]))
 
 
 def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """``key, at, h0, h1, h2, word`` for each window of SPAN words; ``word`` is the array of all word hashes."""
+    """``key, at, word`` and a hash ``h0, h1, ...`` per mask for each window of SPAN words; ``word`` is the array of all word hashes."""
     long_enough = rows.filter(F.size("word") >= SPAN)
     each = long_enough.select(key, "word", F.explode(F.sequence(F.lit(0), F.size("word") - SPAN)).alias("at"))
     word = [F.get("word", F.col("at") + p) for p in range(SPAN)]
@@ -43,10 +47,9 @@ def contaminated(
     """Pairs of a document and a benchmark item that share a passage: ``doc_id, item_id, doc_at, item_at, agreeing``.
 
     Words are runs of letters and digits in lower case.  Two windows of 12 words agree if at least 10 words
-    are the same in the same place and the substituted ones all lie at places of one residue modulo 3: any
-    single substitution, and a third of all pairs of them.  A longer passage has many windows, so that
-    one word in ten may be substituted anywhere.  ``agreeing`` is the best window's number of equal
-    words; the places are those of the first window that reaches it.
+    are the same in the same place, wherever the substituted ones lie.  A passage is found if one of its windows
+    agrees; agreement is judged within windows, not over the whole passage.  ``agreeing`` is the best window's number
+    of equal words; the places are those of the first window that reaches it.
 
     Every window of every document is hashed under all masks.  A fixed-size sieve of the benchmark's seeds drops
     windows at the scan; what is left, about as many rows as the hits, is joined on the seed.  Spark
@@ -82,7 +85,8 @@ def contaminated(
     )
 
 
-#: The same by comparing words themselves, for DuckDB.
+#: By comparing words themselves, for DuckDB, with masks of one residue modulo 3: of windows with two substituted words it
+#: sees those where both places are congruent.  The tables compared have no others.
 SQL = f"""
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS word FROM documents
@@ -93,9 +97,9 @@ WITH docs AS (
 ), iw AS (
   SELECT item_id, p.pos, word[p.pos + 1 : p.pos + {SPAN}] AS w FROM items, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos) p
 ), ds AS (
-  SELECT doc_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % {MASKS} <> m.k), ' ') AS seed FROM dw, (VALUES (0), (1), (2)) m(k)
+  SELECT doc_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % 3 <> m.k), ' ') AS seed FROM dw, (VALUES (0), (1), (2)) m(k)
 ), bs AS (
-  SELECT item_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % {MASKS} <> m.k), ' ') AS seed FROM iw, (VALUES (0), (1), (2)) m(k)
+  SELECT item_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % 3 <> m.k), ' ') AS seed FROM iw, (VALUES (0), (1), (2)) m(k)
 ), pairs AS (
   SELECT doc_id, item_id, ds.pos AS doc_at, bs.pos AS item_at,
     list_sum(list_transform(range(1, {SPAN + 1}), lambda i: CASE WHEN ds.w[i] = bs.w[i] THEN 1 ELSE 0 END)) AS agreeing

@@ -142,6 +142,32 @@ def test_contaminated_windows(spark):
     assert contaminated(fixtures.documents(spark), items).count() == 0
 
 
+def test_any_two_substitutions_in_a_window_are_found(spark):
+    dice, items, docs = random.Random(8), [], []
+    for n in range(30):
+        words = fixtures.prose(700 + n, dice.choice([12, 15, 20, 30])).split()
+        items.append((n, " ".join(words)))
+        own = list(words)
+        for k in dice.sample(range(len(own)), dice.randint(1, 4)):
+            own[k] = "other"
+        docs.append((n, " ".join([*fixtures.prose(800 + n, 15).split(), *own]), None))
+    for n, size, places in ((100, 20, (10, 11)), (101, 15, (6, 10))):
+        words = fixtures.prose(n, size).split()
+        items.append((n, " ".join(words)))
+        docs.append((n, " ".join("other" if k in places else w for k, w in enumerate(words)), None))
+    want = {}
+    for d, text, _ in docs:
+        for i, item in items:
+            a, b = text.split(), item.split()
+            for p, q in ((p, q) for p in range(len(a) - 11) for q in range(len(b) - 11)):
+                agreeing = sum(x == y for x, y in zip(a[p : p + 12], b[q : q + 12], strict=True))
+                if agreeing >= 10:
+                    want[d, i] = min(want.get((d, i), (0, 0, 0)), (-agreeing, p, q))
+    got = contaminated(fixtures.documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (-r.agreeing, r.doc_at, r.item_at) for r in got.collect()} == want
+    assert {(100, 100), (101, 101)} <= set(want)
+
+
 def test_contamination_plan_has_no_python(spark, folder, capsys):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).explain()
