@@ -195,13 +195,14 @@ class Tagger:
     known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
+        self.forget()
+
+    def forget(self) -> None:
         self.table = np.zeros((3, 1, len(STATES)), np.float32)
-        self.shapes = {"": 0}
+        self.shapes, self.known = {"": 0}, {}
 
     def shape_id(self, own: str) -> int:
         if (n := self.shapes.get(own)) is None:
-            if len(self.shapes) >= KEPT_TOKENS:
-                self.shapes, self.table, self.known = {"": 0}, np.zeros((3, 1, len(STATES)), np.float32), {}
             n = self.shapes[own] = len(self.shapes)
             ids = [self.names[f] for f in shape_features(own) if f in self.names]
             if n >= self.table.shape[1]:
@@ -214,6 +215,8 @@ class Tagger:
         return np.array([not _SPANNED.search(s) for s in self.shapes])
 
     def ids(self, tokens: list[str]) -> list[int]:
+        if len(self.shapes) >= KEPT_TOKENS:  # only between batches: all numbers of a batch belong to one table
+            self.forget()
         known = self.known
         found = list(map(known.get, tokens))
         for n, number in enumerate(found):

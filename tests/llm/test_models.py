@@ -161,6 +161,17 @@ def test_chain_adds_what_the_patterns_miss():
     assert found == [[("phone", "(415) 555-2671")], [], [("card", "3782 822463 10005")], []]
 
 
+def test_forgetting_shapes_changes_no_span(monkeypatch):
+    odd = " ".join("-".join(["a1", "b", "=", "9" * n][: n % 4 + 1]) + "/" * (n % 3) + "#" * (n % 2) for n in range(40))
+    calls = [f"{odd} please call (415) 555-2671 today {odd}", "amex 3782 822463 10005 ok", f"call (415) 555-2671 {odd[::-1]}"]
+    whole = pii.Tagger(*pii.fitted())
+    want = [pii.tag([t, calls[1]], whole) for t in calls * 2]
+    monkeypatch.setattr(pii, "KEPT_TOKENS", 4)
+    small = pii.Tagger(*pii.fitted())
+    assert [pii.tag([t, calls[1]], small) for t in calls * 2] == want
+    assert all(w[1] for w in want)
+
+
 def test_personal_data_query_against_plain_patterns(spark, folder):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     for r in queries.QUERIES["op8_pii"](spark, folder).collect():
