@@ -3,7 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; the first four return the rows of
 ``documents`` that stay, with all their columns, the last one the places of their pieces.  What a stage rejects is
 a table of ids, usually small, that is anti-joined: texts are not shuffled where Spark can broadcast it within its limit.
-Rejecting goes by ``doc_id``: rows that share one share the decision, and rows without one are never rejected.  Null texts are empty texts,
+Rejecting goes by ``doc_id``, among exact copies by ``doc_id`` and text: rows that share it share the decision, and rows without one are never rejected.  Null texts are empty texts,
 which have no language and go in the first stage.  Empty tables pass through.
 """
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import session, stored, table
+from ruleloom.llm.common import session, stored, table, text_of
 from ruleloom.llm.decontamination import contaminated
 from ruleloom.llm.exact_dedup import exact_dedup
 from ruleloom.llm.language_id import UNKNOWN, identify, learn
@@ -36,9 +36,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays; of rows that repeat id and text, one."""
-    decided = exact_dedup(docs)
-    left = without(docs, decided.filter("NOT kept"))
+    """Of equal texts the document with the largest id stays, other texts under its id apart; of rows that repeat id and text, one."""
+    decided = exact_dedup(docs, digest_column="rejected_sha256").filter("NOT kept AND doc_id IS NOT NULL")
+    gone = stored(decided.select(F.col("doc_id").alias("rejected_id"), "rejected_sha256").distinct(), "rejected")
+    same_text = F.sha2(text_of("text"), 256) == gone.rejected_sha256
+    left = docs.join(gone, (docs.doc_id == gone.rejected_id) & same_text, "left_anti")
     again = stored(left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")), "repeated")
     same = left.doc_id.eqNullSafe(again.again_id)
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -10,26 +10,28 @@ from .common import passes, session, sieve, stored, text_of
 SIEVE_BITS = 1 << 22
 
 
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix_chars: int = 64) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept``.
+def exact_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix_chars: int = 64, digest_column: str | None = None
+) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept``, and with ``digest_column`` the text's SHA-256 under that name.
 
     Texts are equal if all their bytes are; of equal texts the one with the largest id stays.  A first
     pass reads lengths and prefix hashes; only groups of the same length *and* prefix have their whole
     content hashed, in a second pass.  Two fixed-size sieves carry the surviving groups to the tasks, so no
     text is ever shuffled: what moves is one narrow row per document.  Counts are combined before they are
     shuffled, and joins on hash read stored tables on both sides, so that a group with a third of all rows
-    is split over many tasks.
+    is split over many tasks.  Each row keeps its own length and hash and meets its group by them, whatever its id.
 
     Null texts count as empty ones, and empty texts equal each other.  Rows that repeat id *and* text are one document
-    in several rows: each keeps its row, counts in ``group_size`` and is kept if its id is.  Rows without an id
-    take part; they are kept only if no row of their group has an id.  Other columns are not read.
+    in several rows: each keeps its row, counts in ``group_size`` and is kept if its id is.  Different texts under one id are
+    decided apart.  Rows without an id take part; they are kept only if no row of their group has an id.  Other columns are not read.
     """
     spark = session(docs.sparkSession)
     body = F.col("body")
     slim = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("body"))
     n, prefix = F.octet_length(body).cast("long"), F.xxhash64(F.substring(body, 1, prefix_chars))
 
-    first = stored(slim.select("doc_id", n.alias("n"), prefix.alias("prefix")), "dedup-lengths")
+    first = stored(slim.select(n.alias("n"), prefix.alias("prefix")), "dedup-lengths")
     lengths = first.groupBy("n").count().filter("count > 1").select(F.xxhash64("n").alias("key"))
     by_length = sieve(lengths, "key", SIEVE_BITS).scalar()
     groups = (
@@ -38,19 +40,21 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .select(F.xxhash64("n", "prefix").alias("key"))
     )
     bits = stored(sieve(groups, "key", SIEVE_BITS), "dedup-sieve").scalar()
-    survivors = slim.filter(passes(bits, F.xxhash64(n, prefix), SIEVE_BITS))
-    full = stored(survivors.select("doc_id", n.alias("n"), F.unhex(F.sha2(body, 256)).alias("full")), "dedup-hashes")
+    full = F.when(passes(bits, F.xxhash64(n, prefix), SIEVE_BITS), F.unhex(F.sha2(body, 256)))
+    digest = [] if digest_column is None else [F.sha2(body, 256).alias("digest")]
+    rows = stored(slim.select("doc_id", n.alias("n"), full.alias("full"), *digest), "dedup-hashes")
 
-    copies = full.groupBy("n", "full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    survivors = rows.filter("full IS NOT NULL")
+    copies = survivors.groupBy("n", "full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     copies = stored(copies.filter("group_size > 1"), "dedup-groups")
-    found = stored(
-        full.join(copies, ["n", "full"]).select("doc_id", "keep_id", "group_size").distinct(), "dedup-members"
-    )
-    same = first.doc_id.eqNullSafe(found.doc_id)
-    alone = found.group_size.isNull()
-    return first.join(found, same, "left").select(
-        first.doc_id,
-        F.when(alone, first.doc_id).otherwise(found.keep_id).alias("keep_id"),
-        F.coalesce(found.group_size, F.lit(1)).cast("long").alias("group_size"),
-        (alone | first.doc_id.eqNullSafe(found.keep_id)).alias("kept"),
+    named = [] if digest_column is None else [F.col("digest").alias(digest_column)]
+    alone = F.col("group_size").isNull()
+    met = survivors.join(copies, ["n", "full"], "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        *named,
     )
+    single = [F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")]
+    return met.unionByName(rows.filter("full IS NULL").select("doc_id", *single, *named))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import decontamination, toxicity
-from .common import table, text_of
+from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .language_id import identify, learn
@@ -93,9 +93,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """)
 def op9_exact_dedup(spark, folder):
-    docs = table(spark, folder, "documents")
-    digests = docs.select("doc_id", F.sha2(text_of("text"), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digests, "doc_id")
+    return exact_dedup(table(spark, folder, "documents"), digest_column="text_sha256")
 
 
 @query("op10_decontamination", decontamination.SQL)

@@ -59,3 +59,8 @@ def test_stages_bear_awkward_rows(spark, folder):
             assert left.columns == docs.columns
         else:
             assert left.count() >= 1
+
+
+def test_exact_stage_keeps_the_other_text_of_an_id(spark, folder):
+    docs = fixtures.documents(spark, [(5, "A", None), (5, "B", None), (7, "B", None)])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, folder).collect()) == [(5, "A"), (7, "B")]

@@ -43,6 +43,18 @@ def test_exact_dedup_needs_all_of_the_text(spark):
     assert got == [(1, 3, False), (2, 2, True), (3, 3, True), (4, 4, True)]
 
 
+def test_exact_dedup_of_texts_that_share_an_id_or_have_none(spark, tmp_path):
+    texts = [(5, "A"), (5, "B"), (7, "B"), (None, "C"), (None, "C"), *[(None, "D")] * 3, (None, "alone"), (9, "E"), (None, "E")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = tuples(queries.QUERIES["op9_exact_dedup"](spark, str(tmp_path)), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    want = [
+        (5, 5, 1, True, "A"), (5, 7, 2, False, "B"), (7, 7, 2, True, "B"), *[(None, None, 2, True, "C")] * 2, *[(None, None, 3, True, "D")] * 3,
+        (None, None, 1, True, "alone"), (9, 9, 2, True, "E"), (None, 9, 2, False, "E"),
+    ]
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert got == sorted(((*r[:4], hashlib.sha256(r[4].encode()).hexdigest()) for r in want), key=key)
+
+
 def test_rows_without_any_id(spark):
     got = tuples(exact_dedup(fixtures.documents(spark, [(None, "a", None), (None, "a", None)])), "doc_id", "keep_id", "group_size", "kept")
     assert got == [(None, None, 2, True)] * 2
