@@ -18,6 +18,8 @@ from .common import session, stored, text_of, words_of
 
 # Words that have an id of their own, and how many of them are a class of their own; all others are classed by their last two letters.
 VOCABULARY, OWN_CLASSES, ENDINGS = 8192, 64, 32
+# So many further words have their counts in the workers; those of still rarer words are joined.
+COUNTED = 65_536
 AROUND, HIDDEN = 2, 16
 # Each round trains on every ROUNDS-th place of every text, beginning one place later, so that all rounds together take every place once.
 ROUNDS, BATCH, RATE = 2, 16_384, 0.1
@@ -34,19 +36,26 @@ def ending_class(word: str) -> int:
 class Vocabulary:
     """Ids: 0 is beyond the text, then the words from frequent to rare, then the endings of all other words.
 
-    ``of`` is the class of each id and ``inside`` the log share that a word of this id has of its class; ``prior`` the classes' log shares.
+    ``of`` is the class of each id and ``inside`` the log share that a word of this id has of its class, for ids of endings that of a word
+    counted once; ``prior`` the classes' log shares.  ``more`` has the log counts of the most frequent words that share an ending's id.
     """
 
     ids: dict[str, int]
     of: np.ndarray
     inside: np.ndarray
     prior: np.ndarray
+    more: dict[str, float]
 
     def encode(self, text: str) -> np.ndarray:
         known, rest = self.ids, len(self.ids) + 1
         words = _WORD.findall(text.lower())
         return np.array([known[w] if w in known else rest + ending_class(w) for w in words], dtype="<u2")
 
+    def beyond(self, text: str) -> tuple[float, list[str]]:
+        """Of the words without an own id: the sum of the log counts in ``more``, and the words that are not there."""
+        others = [w for w in _WORD.findall(text.lower()) if w not in self.ids]
+        return sum(self.more.get(w, 0.0) for w in others), [w for w in others if w not in self.more]
+
 
 def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``word, n`` over all texts."""
@@ -56,28 +65,28 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the counts of all words; the driver gets the frequent words and one row per ending."""
-    frequent = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    ranked = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY + COUNTED).collect()
+    frequent, more = ranked[:VOCABULARY], {r["word"]: float(np.log(r["n"])) for r in ranked[VOCABULARY:]}
     ids = {r["word"]: k + 1 for k, r in enumerate(frequent)}
     ending = F.crc32(F.encode(F.expr("right(word, 2)"), "UTF-8")) % ENDINGS
-    sums = counts.groupBy(ending.cast("int").alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
-    mass, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    sums = counts.groupBy(ending.cast("int").alias("e")).agg(F.sum("n").alias("n")).collect()
+    mass = np.zeros(ENDINGS)
     for r in sums:
-        mass[r["e"]], types[r["e"]] = r["n"], r["types"]
+        mass[r["e"]] = r["n"]
     size = len(ids) + 1 + ENDINGS
     of, number = np.zeros(size, np.int64), np.zeros(size)
     for k, r in enumerate(frequent):
         e = ending_class(r["word"])
         mass[e] -= r["n"]
-        types[e] -= 1
         of[k + 1], number[k + 1] = (k if k < OWN_CLASSES else OWN_CLASSES + e), r["n"]
-    # One more than counted, and one type more: words that no text had.
+    # One more than counted, for a word that no text had.
     of[len(ids) + 1 :] = OWN_CLASSES + np.arange(ENDINGS)
     number[len(ids) + 1 :] = np.maximum(mass, 0) + 1
     total = np.bincount(of[1:], number[1:], OWN_CLASSES + ENDINGS)
     share = number[1:] / total[of[1:]]
-    share[len(ids) :] /= np.maximum(types, 0) + 1
+    share[len(ids) :] = 1 / total[of[len(ids) + 1 :]]
     prior = np.log((total + 1) / (total + 1).sum())
-    return Vocabulary(ids, of, np.concatenate([[0.0], np.log(share)]), prior)
+    return Vocabulary(ids, of, np.concatenate([[0.0], np.log(share)]), prior, more)
 
 
 class Network:
@@ -199,8 +208,10 @@ def pseudo_likelihood(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood, perplexity`` for every document.
 
     Tokens are runs of letters and digits in lower case.  Each token is masked in turn and predicted from the two tokens on either side:
-    the network gives the log-probability of its class, the counts of the whole corpus that of the token within its class; a
-    document's score is the sum over all its tokens.  All words of all texts are counted in one aggregation; texts
+    the network gives the log-probability of its class, the counts of the whole corpus that of the token within its class, each word
+    by its own count; a document's score is the sum over all its tokens.  Counts of the frequent words are in the workers, those
+    of the others are joined by word, so that no word's score is that of its ending.  As contexts, words beyond the vocabulary
+    share the embedding of their ending.  All words of all texts are counted in one aggregation; texts
     are then stored as ids, in two bytes each, for training and scoring.  Training reads all texts, every task
     its own, and averages the tasks' parameters, whose number is fixed; so what is gathered grows with the corpus, but
     neither the driver nor a task ever holds more than one model and a batch.
@@ -209,16 +220,25 @@ def pseudo_likelihood(docs: DataFrame, id_column: str = "doc_id", text_column: s
     each.  An empty table gives no rows; other columns are not read.
     """
     spark = session(docs.sparkSession)
-    words = vocabulary(stored(count_words(docs, text_column), "likelihood-counts"))
+    counts = stored(count_words(docs, text_column), "likelihood-counts")
+    words = vocabulary(counts)
     known = spark.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36  # rows are numbered, as ids may repeat or be null
         for batch in batches:
-            ids = [known.value.encode(t).tobytes() for t in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = batch.column("body").to_pylist()
+            ids = [known.value.encode(t).tobytes() for t in texts]
+            more, rare = zip(*map(known.value.beyond, texts)) if texts else ((), ())
+            columns = [
+                pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary()),
+                pa.array(more, pa.float64()), pa.array(rare, pa.list_(pa.string())),
+            ]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids", "more", "rare"])
 
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("body"))
-    encoded = stored(slim.mapInArrow(encode, "doc_id long, ids binary"), "likelihood-ids")
+    encoded = stored(slim.mapInArrow(encode, "row long, doc_id long, ids binary, more double, rare array<string>"), "likelihood-ids")
     shared = spark.sparkContext.broadcast((words.of, words.inside, words.prior, train(encoded, words)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +255,16 @@ def pseudo_likelihood(docs: DataFrame, id_column: str = "doc_id", text_column: s
                 log = net.log_classes(net.hidden(around[:, k : k + BATCH]))[np.arange(len(own)), of[own]] + inside[own]
                 total += np.bincount(owner[k : k + BATCH], log, len(texts))
             n = np.array([len(t) for t in texts])
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            high = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(total), mean, high],
-                ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood", "perplexity"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(total + batch.column("more").to_numpy())],
+                ["row", "doc_id", "n_tokens", "total"],
             )
 
-    return encoded.mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double, perplexity double")
+    scored = encoded.select("row", "doc_id", "ids", "more").mapInArrow(score, "row long, doc_id long, n_tokens long, total double")
+    # A word that Spark splits otherwise than the workers counts as one; all others have their count.
+    rare = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word")
+    logs = rare.groupBy("row").agg(F.sum(F.log("n")).alias("logs"))
+    total = F.col("total") + F.coalesce("logs", F.lit(0.0))
+    summed = scored.join(logs, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return summed.select("*", mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))

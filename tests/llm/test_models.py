@@ -213,6 +213,19 @@ def test_classes_and_words_are_distributions(spark):
     assert (known <= 1 + 1e-9).all()
 
 
+@pytest.mark.parametrize("counted", [0, 3, 65_536])
+def test_each_rare_word_has_its_own_count(spark, monkeypatch, counted):
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 2)
+    monkeypatch.setattr(pseudo_likelihood, "COUNTED", counted)
+    rows = [(1, "the a boxing the a", None), (2, "the a foxing the a", None), (3, "foxing " * 8 + "the a " * 40, None), (None, "the a foxing the a", None), (2, "the a boxing the a", None)]
+    docs = fixtures.documents(spark, rows)
+    found = pseudo_likelihood.pseudo_likelihood(docs).collect()
+    assert len(found) == len(rows) and all(r.perplexity == pytest.approx(math.exp(-r.log_likelihood / r.n_tokens)) for r in found)
+    got = {k: sorted(r.log_likelihood for r in found if r.doc_id == k) for k in (1, 2, None)}
+    # foxing occurs 10 times, boxing twice; the ending and the words around them are the same
+    assert got[2][1] - got[1][0] == pytest.approx(math.log(10 / 2)) and got[2][0] == pytest.approx(got[1][0]) and got[None][0] == pytest.approx(got[2][1])
+
+
 def test_windows_do_not_cross_texts():
     centre, around = pseudo_likelihood.windows([np.array([5, 6, 7]), np.array([], int), np.array([8])])
     assert centre.tolist() == [5, 6, 7, 8]
