@@ -15,6 +15,19 @@ WHITE = (
 )
 
 
+def unused(name: str, *texts: str) -> str:
+    """The name, longer where one of the texts holds it."""
+    while any(name in text for text in texts):
+        name += "_"
+    return name
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """``body``, in which ``name`` stands for ``value``: it is evaluated once, however often the name occurs and
+    whatever the loops that it occurs in."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def same(a: str, b: str) -> str:
     """Equality that is never NULL: two NULLs are equal."""
     return f"({a} <=> {b})"
@@ -54,10 +67,14 @@ def trim(text: str) -> str:
 
 def split(text: str, pattern: str) -> str:
     """Parts between the matches, without empty parts at the end; a text without a match is one part."""
-    parts = f"split({text}, {literal(pattern)})"
-    kept = f"aggregate(sequence(1, size({parts})), 0, (last, n) -> CASE WHEN element_at({parts}, n) <> '' THEN n ELSE last END)"
-    whole = f"NOT ({text} RLIKE {literal(pattern)})"
-    return f"(CASE WHEN {whole} THEN array({text}) WHEN {text} IS NOT NULL THEN slice({parts}, 1, {kept}) END)"
+    t, parts = unused("__text", pattern), unused("__parts", pattern)
+    last = (
+        f"aggregate({parts}, named_struct('n', 0, 'last', 0), (a, x) -> named_struct('n', a.n + 1, "
+        f"'last', CASE WHEN x <> '' THEN a.n + 1 ELSE a.last END), a -> a.last)"
+    )
+    kept = bound(f"split({t}, {literal(pattern)})", parts, f"slice({parts}, 1, {last})")
+    whole = f"NOT ({t} RLIKE {literal(pattern)})"
+    return bound(text, t, f"CASE WHEN {whole} THEN array({t}) WHEN {t} IS NOT NULL THEN {kept} END")
 
 
 def matches(text: str, pattern: str) -> str:
@@ -98,10 +115,8 @@ def item(array: str, position: str) -> str:
 
 def find(array: str, field: str, value: str) -> str:
     """The first record of an array whose field has the value, else NULL."""
-    name = "__found"
-    while name in value or name in array or name == field:
-        name += "_"
-    return f"get(filter({array}, {name} -> {name}.{quote(field)} = {value}), 0)"
+    wanted, found = unused("__wanted", array, field, value), unused("__found", array, field, value)
+    return bound(value, wanted, f"get(filter({array}, {found} -> {found}.{quote(field)} = {wanted}), 0)")
 
 
 def json_value(text: str, path: str, dtype: str = "STRING") -> str:

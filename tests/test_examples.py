@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import details, verdict
+from audit_helpers import details, verdict
 from pyspark.sql import functions as F
 
 from ruleloom import ArrayOf, Generic, RecordOf, RuleFile, SingleTest, Step, TestSet, UnionOf, validate

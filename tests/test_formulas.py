@@ -1,5 +1,7 @@
 """The formula helpers, value by value."""
 
+import time
+
 import pytest
 
 from ruleloom.functions import formulas as fx
@@ -48,3 +50,35 @@ def test_formula(spark, text, expected):
 def test_find_does_not_hide_columns(spark):
     df = spark.createDataFrame([(2, [(1, "x"), (2, "y")])], "f int, l array<struct<k: int, t: string>>")
     assert df.selectExpr(fx.find("l", "k", "f") + ".t").first()[0] == "y"
+
+
+@pytest.mark.parametrize("text, pattern, parts", [
+    ("a,b,,c,,", ",", ["a", "b", "", "c"]), (",a", ",", ["", "a"]), (",,", ",", []), ("", ",", [""]), ("abc", ",", ["abc"]), (None, ",", None),
+    ("a1b22c", "[0-9]+", ["a", "b", "c"]), ("__text", "_", ["", "", "text"]),
+])
+def test_split(spark, text, pattern, parts):
+    df = spark.createDataFrame([(text,)], "__text string")
+    assert df.selectExpr(fx.split("__text", pattern) + " AS v").first()["v"] == parts
+
+
+def test_split_grows_with_the_text(spark):
+    def seconds(words):
+        df = spark.range(400).selectExpr(f"array_join(transform(sequence(1, {words}), n -> concat('w', n)), ' ') AS t").cache()
+        df.count()
+        found = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.selectExpr(f"sum(size({fx.split('t', ' ')}))").collect()
+            found.append(time.perf_counter() - start)
+        df.unpersist()
+        return min(found)
+
+    seconds(500)
+    assert seconds(4000) < 30 * max(0.05, seconds(500))
+
+
+def test_arguments_are_not_repeated_in_loops(spark):
+    plan = spark.sql("SELECT 'a b' AS t, array(named_struct('k', 1)) AS l").selectExpr(
+        fx.split("upper(t)", " ") + " AS s", fx.find("l", "k", "length(lower(t))") + " AS f"
+    )._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(") == 1 and plan.count("lower(") == 1

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import details, verdict
+from audit_helpers import details, verdict
 
 from ruleloom import ArrayOf, Generic, RecordOf, RuleFile, SingleTest, Step, TestSet, validate
 from ruleloom.operators.dryrun import trace
