@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, toxicity
+from . import decontamination, toxicity, vector_codes
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
@@ -99,3 +99,8 @@ def op9_exact_dedup(spark, folder):
 @query("op10_decontamination", decontamination.SQL)
 def op10_decontamination(spark, folder):
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_vector_codes", vector_codes.SQL)
+def op13_vector_codes(spark, folder):
+    return vector_codes.compress_vectors(table(spark, folder, "embeddings"))
