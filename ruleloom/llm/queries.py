@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, toxicity, vector_codes
+from . import decontamination, toxicity, turn_repair, vector_codes
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
@@ -101,6 +101,11 @@ def op10_decontamination(spark, folder):
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op11_turn_repair", turn_repair.SQL)
+def op11_turn_repair(spark, folder):
+    return turn_repair.conversation_digests(turn_repair.repair_pieces(table(spark, folder, "conversations")))
+
+
 @query("op13_vector_codes", vector_codes.SQL)
 def op13_vector_codes(spark, folder):
     return vector_codes.compress_vectors(table(spark, folder, "embeddings"))

@@ -5,10 +5,10 @@ import math
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from ruleloom.llm import vector_codes
-from ruleloom.llm.vector_codes import compress_vectors, digits, number
+from ruleloom.llm.vector_codes import compress_vectors, digits, gathered, number
 
 KIND = "vec_id long, embedding array<float>, label int, vector string, code string, error string"
 
@@ -47,7 +47,7 @@ def by_loops(rows):
     return [(i, "".join(f"{n:02x}" for _, n in f), e, label[l], digest) for (i, _, l), f, e in zip(kept, found, errors)]
 
 
-def check(spark, rows, monkeypatch=None):
+def check(spark, rows):
     got = [tuple(r) for r in compress_vectors(table(spark, rows).repartition(3)).collect()]
     assert sorted(got, key=str) == sorted(by_loops(rows), key=str)
     return got
@@ -64,8 +64,7 @@ def rounded(rows):
     return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], n) for i, v, n in rows]
 
 
-def test_against_loops(spark, monkeypatch):
-    monkeypatch.setattr(vector_codes, "GATHERED", 50)
+def test_against_loops(spark):
     check(spark, rounded(vectors(1, 150)))
 
 
@@ -96,6 +95,12 @@ def test_other_lengths(spark):
         compress_vectors(table(spark, [(1, [1.0] * 17, 1)]))
 
 
+def test_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(3))}) for _ in range(5)]
+    assert [len(t) for t in gathered(iter(batches), rows=5)] == [6, 6, 3]
+    assert list(gathered(iter([]))) == []
+
+
 def test_digits():
     for x in (0, 1, -1, 10**45, -(10**45), 2**40, -(2**40) - 7):
         assert number(digits(x)) == x
