@@ -15,6 +15,7 @@ from .packing import best_fit_pack
 from .pii import KINDS, find_pii
 from .pseudo_likelihood import pseudo_likelihood
 from .registry import ORACLES, QUERIES, query
+from .site_templates import main_text
 from .token_file import check_token_files, write_token_files
 from .warc import all_entries, read_records, write_archive
 
@@ -106,6 +107,11 @@ def op11_turn_repair(spark, folder):
     return turn_repair.conversation_digests(turn_repair.repair_pieces(table(spark, folder, "conversations")))
 
 
+@query("op12_main_text")
+def op12_main_text(spark, folder):
+    return main_text(table(spark, folder, "pages"))
+
+
 @query("op13_vector_codes", vector_codes.SQL)
 def op13_vector_codes(spark, folder):
     return vector_codes.compress_vectors(table(spark, folder, "embeddings"))
