@@ -7,106 +7,163 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, session, sieve, stored, text_of, word_hashes
+from .common import fine_sieve, passes_fine, session, stored, text_of, word_hashes
 
-# A seed spans this many words; a mask ignores the positions of two residues modulo 4, so it compares 6 of 12 words.
-# Wherever two words are substituted, one mask ignores both.
-SPAN = 12
-IGNORED = list(combinations(range(4), 2))
-MASKS = len(IGNORED)
+# A seed spans this many words.  Words four apart make a comb of three; a mask compares two of a window's four combs and
+# ignores the others, six words of twelve.  Wherever two words are substituted, one mask ignores both.
+SPAN, COMBS = 12, 4
+MASKS = list(combinations(range(COMBS), 2))
 # A window is contaminated if so many of its words agree with a benchmark window, in place.
 AGREE = 10
-SIEVE_BITS = 1 << 22
+# Around a hit, texts are compared along their diagonal over so many words more on either side, as far as both reach;
+# they also share a passage if five of six words of that overlap agree.
+REACH = 24
+PASSAGE_AGREE, PASSAGE_OF = 5, 6
+# The sieves have 16 bits or more for each key, up to 1 MB; beyond that they let more through.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 23
 
 
-def _masked(word: list[Column], k: int) -> Column:
-    return F.xxhash64(F.lit(k), *(w for p, w in enumerate(word) if p % 4 not in IGNORED[k]))
+def _combed(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key, word, comb``: a text's word hashes, and at each place the hash of the words there, four and eight places on."""
+    # As the only element of an array, the words are made once: the optimiser would write their expression into the loop below.
+    words = rows.select(F.col(key), F.explode(F.array(word_hashes(text))).alias("word"))
+    places = F.when(F.size("word") >= SPAN, F.sequence(F.lit(0), F.size("word") - 2 * COMBS - 1))
+    comb = F.transform(places, lambda p: F.xxhash64(*(F.get("word", p + COMBS * n) for n in range(SPAN // COMBS))))
+    return words.select(key, "word", F.explode(F.array(comb)).alias("comb"))
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """``key, at, word`` and a hash ``h0, h1, ...`` per mask for each window of SPAN words; ``word`` is the array of all word hashes."""
-    long_enough = rows.filter(F.size("word") >= SPAN)
-    each = long_enough.select(key, "word", F.explode(F.sequence(F.lit(0), F.size("word") - SPAN)).alias("at"))
-    word = [F.get("word", F.col("at") + p) for p in range(SPAN)]
-    return each.select(key, "word", "at", *(_masked(word, k).alias(f"h{k}") for k in range(MASKS)))
+def _windows(combed: DataFrame, key: str) -> DataFrame:
+    """One row for each place ``at`` where SPAN words begin."""
+    return combed.select(key, "word", "comb", F.explode(F.sequence(F.lit(0), F.size("comb") - COMBS)).alias("at"))
 
 
-def _seeds(windows: DataFrame, key: str, keep) -> DataFrame:
-    """One row for each mask of a window that ``keep`` lets through; equal windows of a text once, at the first place."""
-    masks = F.array_compact(
-        F.array(*(F.when(keep(F.col(f"h{k}")), F.struct(F.lit(k).alias("mask"), F.col(f"h{k}").alias("seed"))) for k in range(MASKS)))
-    )
-    seeds = windows.select(key, "at", F.slice("word", F.col("at") + 1, SPAN).alias("window"), F.explode(masks).alias("m"))
-    return seeds.groupBy(key, "m.mask", "m.seed", "window").agg(F.min("at").alias("at"))
+def _comb(n: int) -> Column:
+    return F.get("comb", F.col("at") + n)
+
+
+def _seed(mask: int) -> Column:
+    a, b = MASKS[mask]
+    return F.xxhash64(F.lit(mask), _comb(a), _comb(b))
+
+
+def _surrounded(windows: DataFrame, key: str) -> DataFrame:
+    """``key, at, before, around, mask, seed`` for every mask: ``around`` are the words around a window, ``before`` of them in front of it."""
+    before = F.least("at", F.lit(REACH))
+    around = F.slice("word", F.col("at") - before + 1, before + SPAN + REACH)
+    seeds = F.array(*(F.struct(F.lit(k).alias("mask"), _seed(k).alias("seed")) for k in range(len(MASKS))))
+    return windows.select(key, "at", before.alias("before"), around.alias("around"), F.inline(seeds))
+
+
+def _numbered(seeds: DataFrame, key: str, number: str, name: str) -> DataFrame:
+    """Each window once, with a number and its seeds; of windows that repeat in a text with all around them, the first."""
+    once = seeds.groupBy(key, "before", "around").agg(F.min("at").alias("at"), F.collect_set(F.struct("mask", "seed")).alias("seeds"))
+    return stored(once.withColumn(number, F.monotonically_increasing_id()), name)
+
+
+def _bits_for(keys: DataFrame) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """Pairs of a document and a benchmark item that share a passage: ``doc_id, item_id, doc_at, item_at, agreeing``.
+    """Pairs of a document and a benchmark item that share a passage: ``doc_id, item_id, doc_at, item_at, agreeing, overlap, overlap_agreeing``.
 
-    Words are runs of letters and digits in lower case.  Two windows of 12 words agree if at least 10 words
-    are the same in the same place, wherever the substituted ones lie.  A passage is found if one of its windows
-    agrees; agreement is judged within windows, not over the whole passage.  ``agreeing`` is the best window's number
-    of equal words; the places are those of the first window that reaches it.
+    Words are runs of letters and digits in lower case.  Windows of 12 words that are equal under a mask are a hit.  A hit counts if
+    10 of its 12 words are the same in the same place, or five of six words of the whole overlap around it: along the diagonal, up
+    to 24 words to either side as far as both texts reach, so the whole of a short item.  Any two substituted words of a window leave a mask
+    whole.  ``agreeing`` is the best window's number of equal words, then the overlap's; the places are those of the first such window.
 
-    Every window of every document is hashed under all masks.  A fixed-size sieve of the benchmark's seeds drops
-    windows at the scan; what is left, about as many rows as the hits, is joined on the seed.  Spark
-    broadcasts the benchmark's seeds if they are below its size limit, else it shuffles both sides, and
-    splits a seed that many documents share.  Windows that repeat within a text count once.
+    At every place of a text three words are hashed once.  A sieve of the benchmark's combs drops, at the scan and before any seed is
+    made, windows with fewer than two known combs; a sieve of its seeds drops most of the others.  What is left, about as many
+    rows as there are hits, is joined on the seed, by number of window; the words around a window follow once for each pair.
+    Spark broadcasts the benchmark's tables if they are below its size limit, else it shuffles both sides, and
+    splits a seed that many documents share.  Windows that repeat with all their surroundings count once.
 
     Null texts are empty.  Texts and items of fewer than 12 words have no window and match nothing.  Repeated rows give
     the same pair once.  Rows without an id are compared too and give a pair with a null.  Empty tables give no pairs.
     """
     session(docs.sparkSession)
-    left = docs.select(F.col(id_column).alias("doc_id"), word_hashes(text_of(text_column)).alias("word"))
-    right = benchmark.select(F.col(item_column).alias("item_id"), word_hashes(text_of(item_text)).alias("word"))
-    items = stored(_seeds(_windows(right, "item_id"), "item_id", lambda _: F.lit(True)), "seeds-benchmark")
-    bits = stored(sieve(items, "seed", SIEVE_BITS), "seeds-sieve").scalar()
-    windows = _windows(left, "doc_id")
-    hit = passes(bits, F.col("h0"), SIEVE_BITS)
-    for k in range(1, MASKS):
-        hit = hit | passes(bits, F.col(f"h{k}"), SIEVE_BITS)
-    found = stored(_seeds(windows.filter(hit), "doc_id", lambda seed: passes(bits, seed, SIEVE_BITS)), "seeds-documents")
-
-    a, b = found.alias("a"), items.alias("b")
-    agreeing = F.aggregate(
-        F.zip_with("a.window", "b.window", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, one: total + one
-    )
-    pairs = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.seed") == F.col("b.seed"))).select(
-        "doc_id", "item_id", F.col("a.at").alias("doc_at"), F.col("b.at").alias("item_at"), agreeing.alias("agreeing")
-    )
-    best = F.min(F.struct((-F.col("agreeing")).alias("minus"), "doc_at", "item_at")).alias("best")
-    return (
-        pairs.filter(F.col("agreeing") >= AGREE)
-        .groupBy("doc_id", "item_id").agg(best)
-        .select("doc_id", "item_id", "best.doc_at", "best.item_at", (-F.col("best.minus")).alias("agreeing"))
-    )
-
-
-#: By comparing words themselves, for DuckDB, with masks of one residue modulo 3: of windows with two substituted words it
-#: sees those where both places are congruent.  The tables compared have no others.
+    left = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("body"))
+    right = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("body"))
+
+    combed = _combed(right, "item_id", text_of("body"))
+    items = _numbered(_surrounded(_windows(combed, "item_id"), "item_id"), "item_id", "item_window", "leaks-items")
+    item_seeds = stored(items.select("item_window", F.inline("seeds")), "leaks-seeds")
+    known = stored(combed.select(F.explode("comb").alias("hash")).distinct(), "leaks-combs")
+    comb_size, seed_size = _bits_for(known), _bits_for(item_seeds)
+    comb_bits = stored(fine_sieve(known, "hash", comb_size), "leaks-sieve").scalar()
+    seed_bits = stored(fine_sieve(item_seeds, "seed", seed_size), "leaks-sieve").scalar()
+
+    # Both filters are compiled with what is below them; a function of arrays in them would make Spark copy a text for each window.
+    familiar = sum((passes_fine(comb_bits, _comb(n), comb_size).cast("int") for n in range(COMBS)), F.lit(0))
+    windows = _windows(_combed(left, "doc_id", text_of("body")), "doc_id").filter(familiar >= 2)
+    hits = _surrounded(windows, "doc_id").filter(passes_fine(seed_bits, F.col("seed"), seed_size))
+    found = _numbered(hits, "doc_id", "window", "leaks-windows")
+
+    seeds = found.select("window", F.inline("seeds"))
+    pairs = seeds.join(item_seeds, ["mask", "seed"]).select("window", "item_window").distinct()
+    own = items.select("item_window", "item_id", *(F.col(c).alias(f"item_{c}") for c in ("at", "before", "around")))
+    met = pairs.join(found.drop("seeds"), "window").join(own, "item_window")
+
+    front = F.least("before", "item_before")
+    length = front + F.least(F.size("around") - F.col("before"), F.size("item_around") - F.col("item_before"))
+    same = F.zip_with(
+        F.slice("around", F.col("before") - front + 1, length), F.slice("item_around", F.col("item_before") - front + 1, length),
+        lambda x, y: (x == y).cast("int"))
+    compared = met.select("doc_id", "item_id", F.col("at").alias("doc_at"), "item_at", front.alias("front"), length.alias("overlap"), same.alias("same"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda so_far, one: so_far + one)
+
+    judged = compared.select(
+        "doc_id", "item_id", "doc_at", "item_at", "overlap", total(F.slice("same", F.col("front") + 1, SPAN)).alias("agreeing"),
+        total(F.col("same")).alias("overlap_agreeing"))
+    leaks = judged.filter((F.col("agreeing") >= AGREE) | (F.col("overlap_agreeing") * PASSAGE_OF >= F.col("overlap") * PASSAGE_AGREE))
+    best = F.min(F.struct(
+        (-F.col("agreeing")).alias("worse"), (-F.col("overlap_agreeing")).alias("less"), "overlap", "doc_at", "item_at")).alias("best")
+    return leaks.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "best.doc_at", "best.item_at", (-F.col("best.worse")).alias("agreeing"), "best.overlap",
+        (-F.col("best.less")).alias("overlap_agreeing"))
+
+
+def _words_sql(column: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+#: The definition by the words themselves, for DuckDB.
 SQL = f"""
 WITH docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS word FROM documents
+  SELECT doc_id, {_words_sql('text')} AS word FROM documents
 ), items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS word FROM benchmark
+  SELECT item_id, {_words_sql('text')} AS word FROM benchmark
 ), dw AS (
-  SELECT doc_id, p.pos, word[p.pos + 1 : p.pos + {SPAN}] AS w FROM docs, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos) p
+  SELECT doc_id, pos, word[pos + 1 : pos + {SPAN}] AS w FROM docs, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos)
 ), iw AS (
-  SELECT item_id, p.pos, word[p.pos + 1 : p.pos + {SPAN}] AS w FROM items, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos) p
-), ds AS (
-  SELECT doc_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % 3 <> m.k), ' ') AS seed FROM dw, (VALUES (0), (1), (2)) m(k)
+  SELECT item_id, pos, word[pos + 1 : pos + {SPAN}] AS w FROM items, LATERAL (SELECT unnest(range(len(word) - {SPAN - 1})) AS pos)
+), masks AS (
+  SELECT * FROM (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(MASKS))}) m(k, a, b)
 ), bs AS (
-  SELECT item_id, pos, w, m.k, array_to_string(list_filter(w, lambda x, i: (i - 1) % 3 <> m.k), ' ') AS seed FROM iw, (VALUES (0), (1), (2)) m(k)
-), pairs AS (
-  SELECT doc_id, item_id, ds.pos AS doc_at, bs.pos AS item_at,
-    list_sum(list_transform(range(1, {SPAN + 1}), lambda i: CASE WHEN ds.w[i] = bs.w[i] THEN 1 ELSE 0 END)) AS agreeing
-  FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed
+  SELECT item_id, pos, k, array_to_string(list_filter(w, lambda x, i: (i - 1) % {COMBS} IN (a, b)), ' ') AS seed FROM iw, masks
+), ds AS (
+  SELECT doc_id, pos, k, array_to_string(list_filter(w, lambda x, i: (i - 1) % {COMBS} IN (a, b)), ' ') AS seed FROM dw, masks
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, ds.pos AS doc_at, bs.pos AS item_at FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed
+), spans AS (
+  SELECT h.*, d.word AS dword, i.word AS iword, least(doc_at, item_at, {REACH}) AS front,
+    least(len(d.word) - doc_at, len(i.word) - item_at, {SPAN + REACH}) AS behind
+  FROM hits h JOIN docs d USING (doc_id) JOIN items i USING (item_id)
+), same AS (
+  SELECT doc_id, item_id, doc_at, item_at, front, front + behind AS overlap, list_transform(range(-front, behind), lambda p:
+    CASE WHEN dword[doc_at + p + 1] = iword[item_at + p + 1] THEN 1 ELSE 0 END) AS same FROM spans
+), judged AS (
+  SELECT *, list_sum(same[front + 1 : front + {SPAN}]) AS agreeing, list_sum(same) AS overlap_agreeing FROM same
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, doc_at, item_at) AS r FROM pairs WHERE agreeing >= {AGREE}
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, overlap_agreeing DESC, overlap, doc_at, item_at) AS r
+  FROM judged WHERE agreeing >= {AGREE} OR overlap_agreeing * {PASSAGE_OF} >= overlap * {PASSAGE_AGREE}
 )
-SELECT doc_id, item_id, CAST(doc_at AS INTEGER) AS doc_at, CAST(item_at AS INTEGER) AS item_at, CAST(agreeing AS INTEGER) AS agreeing
+SELECT doc_id, item_id, CAST(doc_at AS INTEGER) AS doc_at, CAST(item_at AS INTEGER) AS item_at, CAST(agreeing AS INTEGER) AS agreeing,
+  CAST(overlap AS INTEGER) AS overlap, CAST(overlap_agreeing AS INTEGER) AS overlap_agreeing
 FROM ranked WHERE r = 1
 """
