@@ -27,10 +27,29 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders that this process has named, in order.
+SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: in spark.checkpoint.dir, else in the warehouse.
+
+    A warehouse on the local disk is refused where executors run on other machines: each would write to its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if urlparse(base).scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {base} is one of each machine")
+    SCRATCH.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete scratch folders whose tables are no longer read."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -94,6 +113,11 @@ def fine_sieve(hashes: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
     return dense.agg(F.array_sort(F.collect_list(F.struct("slot", "bit"))).alias("all")).select(F.col("all.bit").alias("bits"))
 
 
+def sieve_bits(keys: int, least: int = 1 << 20, most: int = 1 << 26) -> int:
+    """Bits of a fine sieve for so many keys: 16 a key, 8 MB at most, beyond which it lets more through."""
+    return min(most, max(least, 1 << (16 * keys).bit_length()))
+
+
 def passes_fine(bits: Column, key: Column, size: int = 1 << 22) -> Column:
     """Whether a hash may be in the fine sieve of ``size`` bits, a power of two."""
     word = F.get(bits, key.bitwiseAND(F.lit(size // 64 - 1).cast("long")).cast("int"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fine_sieve, passes_fine, session, stored, text_of, word_hashes
+from .common import fine_sieve, passes_fine, session, sieve_bits, stored, text_of, word_hashes
 
 # A seed spans this many words.  Words four apart make a comb of three; a mask compares two of a window's four combs and
 # ignores the others, six words of twelve.  Wherever two words are substituted, one mask ignores both.
@@ -19,8 +19,8 @@ AGREE = 10
 # they also share a passage if five of six words of that overlap agree.
 REACH = 24
 PASSAGE_AGREE, PASSAGE_OF = 5, 6
-# The sieves have 16 bits or more for each key, up to 1 MB; beyond that they let more through.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 23
+# The sieves take 1 MB at most, as four and one of them go into every task.
+MOST_BITS = 1 << 23
 
 
 def _combed(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -60,10 +60,6 @@ def _numbered(seeds: DataFrame, key: str, number: str, name: str) -> DataFrame:
     return stored(once.withColumn(number, F.monotonically_increasing_id()), name)
 
 
-def _bits_for(keys: DataFrame) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text",
@@ -92,7 +88,7 @@ def contaminated(
     items = _numbered(_surrounded(_windows(combed, "item_id"), "item_id"), "item_id", "item_window", "leaks-items")
     item_seeds = stored(items.select("item_window", F.inline("seeds")), "leaks-seeds")
     known = stored(combed.select(F.explode("comb").alias("hash")).distinct(), "leaks-combs")
-    comb_size, seed_size = _bits_for(known), _bits_for(item_seeds)
+    comb_size, seed_size = sieve_bits(known.count(), most=MOST_BITS), sieve_bits(item_seeds.count(), most=MOST_BITS)
     comb_bits = stored(fine_sieve(known, "hash", comb_size), "leaks-sieve").scalar()
     seed_bits = stored(fine_sieve(item_seeds, "seed", seed_size), "leaks-sieve").scalar()
 

@@ -171,19 +171,19 @@ def _by_hash():
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, n_words, switches`` for every document.
+    """``doc_id, held_out, lang_pred, score, n_words, switches, confidence`` for every document.
 
     Words are runs of letters in lower case.  Each word's scores for the languages come from its affixes, trigrams and the lexicon; learned
     transitions join them in chains of 64 words, and forward-backward gives every word's posterior.  ``score`` is the
     mean posterior of the predicted language, so it is low in mixed texts; ``switches`` counts neighbouring words of different
-    languages.  Only the text enters.  No shuffle; a batch of texts is held at a time, and a bounded table of words.
+    languages; ``confidence`` is the mean of each word's best posterior, high in a mixed text whose words are clear.  Only the text enters.  No shuffle; a batch of texts is held at a time, and a bounded table of words.
 
-    Null texts and texts without a letter are ``und`` with score 0.  Ties go to the first language in alphabetical order.  Rows that
+    Null texts and texts without a letter are ``und`` with score and confidence 0.  Ties go to the first language in alphabetical order.  Rows that
     repeat, and rows without an id, give a row each.  With a model of no language everything is ``und``.
     """
     session(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "lang_pred", "score", "n_words", "switches"]
+    names = ["doc_id", "held_out", "lang_pred", "score", "n_words", "switches", "confidence"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -195,20 +195,23 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             n[[k for k, t in enumerate(texts) if not any(c.isalpha() for w in t for c in w)]] = 0
             texts = [t if m else [] for t, m in zip(texts, n, strict=True)]
             sums, switches = np.zeros((len(texts), max(1, len(model.languages)))), np.zeros(len(texts), np.int64)
+            sure = np.zeros(len(texts))
             if n.any() and model.languages:
                 scores, ends = model.word_scores(texts)
                 at, length, owner = pieces(ends, CHAIN)
                 index, inside = padded(at, length, CHAIN)
                 post, _, _ = forward_backward(scores[index], inside, model.transition)
                 np.add.at(sums, owner, (post * inside[:, :, None]).sum(0))
+                np.add.at(sure, owner, (post.max(2) * inside).sum(0))
                 best = post.argmax(2)
                 np.add.at(switches, owner, ((best[1:] != best[:-1]) & inside[1:]).sum(0))
             known = (n > 0) & bool(model.languages)
             top = sums.argmax(1)
             lang = [model.languages[t] if k else UNKNOWN for t, k in zip(top, known, strict=True)]
             score = np.where(known, sums.max(1) / np.maximum(n, 1), 0.0)
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(n), pa.array(switches)]
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(n), pa.array(switches),
+                       pa.array(np.clip(sure / np.maximum(n, 1), 0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(id_column).alias("held_out"), text_of(text_column).alias("body"))
-    return slim.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, switches long")
+    return slim.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, switches long, confidence double")

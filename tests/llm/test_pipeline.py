@@ -1,30 +1,24 @@
 """The pipeline stage by stage against plain loops."""
 
+import os
 import re
 
 import fixtures
-from test_text_operators import loops
+from test_text_operators import loops, overlaps
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
+from ruleloom.llm.common import SCRATCH
 
 
 def test_stages_keep_what_loops_keep(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, kept = docs.columns, {r.doc_id: r.text for r in docs.collect()}
     items = [re.findall(r"[^\W_]+", r.text.lower()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    seeds = {(k, tuple(w[at + p] for p in range(12) if p % 3 != k)): [] for w in items for at in range(len(w) - 11) for k in range(3)}
-    for w in items:
-        for at in range(len(w) - 11):
-            for k in range(3):
-                seeds[k, tuple(w[at + p] for p in range(12) if p % 3 != k)].append(w[at : at + 12])
 
     def leaks(text):
-        w = re.findall(r"[^\W_]+", text.lower())
-        return any(
-            sum(a == b for a, b in zip(own, w[at : at + 12], strict=True)) >= 10
-            for at in range(len(w) - 11) for k in range(3) for own in seeds.get((k, tuple(w[at + p] for p in range(12) if p % 3 != k)), ())
-        )
+        words = re.findall(r"[^\W_]+", text.lower())
+        return any(any(overlaps(words, item)) for item in items)
 
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder).cache()
@@ -51,16 +45,36 @@ def test_run_chains_the_stages(spark, folder):
 def test_stages_bear_awkward_rows(spark, folder):
     rows = fixtures.ROWS + [(4, "another text under the same id", "en")]
     docs = fixtures.documents(spark, rows)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
         left = stage(spark, docs, folder)
         if name == "exact_dedup":
             assert sorted((r.doc_id or 0, len(r.text or "")) for r in left.collect())[:4] == [(0, 19), (2, 0), (4, 30), (4, 70)]
             assert left.columns == docs.columns
+        elif name == "language_id":
+            assert not {1, 2, 6} & {r.doc_id for r in left.collect()} and left.columns == docs.columns
         else:
             assert left.count() >= 1
 
 
+def test_mixed_languages_stay(spark, folder):
+    rows = spark.read.parquet(f"{folder}/documents.parquet").filter("lang IS NOT NULL AND n_chars > 300").select("lang", "text").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.lang, []).append(r.text[:300])
+    mixed = [(1000 + k, " ".join(texts[k] for texts in by.values()), None) for k in range(min(map(len, by.values())))]
+    docs = fixtures.documents(spark, [(n, r.text, r.lang) for n, r in enumerate(rows)] + mixed)
+    assert len(by) == 4 and len(mixed) > 3
+    assert {k for k, _, _ in mixed} <= {r.doc_id for r in corpus_pipeline.language(spark, docs, folder).collect()}
+
+
+def test_scratch_of_finished_stages_is_removed(spark, folder):
+    start = len(SCRATCH)
+    entry_module.queries()["pipeline"](spark, folder).count()
+    left = [os.path.basename(p) for p in SCRATCH[start:] if os.path.exists(p)]
+    assert "pipeline-benchmark_decontamination" in "".join(left) and not any(p.startswith(("graph", "leaks", "dedup")) for p in left)
+
+
 def test_exact_stage_keeps_the_other_text_of_an_id(spark, folder):
     docs = fixtures.documents(spark, [(5, "A", None), (5, "B", None), (7, "B", None)])
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, folder).collect()) == [(5, "A"), (7, "B")]

@@ -154,30 +154,54 @@ def test_contaminated_windows(spark):
     assert contaminated(fixtures.documents(spark), items).count() == 0
 
 
-def test_any_two_substitutions_in_a_window_are_found(spark):
+def overlaps(a, b):
+    """All windows of two texts' words that are a hit and count: ``-agreeing, -overlap agreeing, overlap, places``."""
+    masks = [[p for p in range(12) if p % 4 in pair] for pair in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))]
+    at = defaultdict(set)
+    for q in range(len(b) - 11):
+        for k, mask in enumerate(masks):
+            at[k, tuple(b[q + p] for p in mask)].add(q)
+    for p in range(len(a) - 11):
+        for q in set().union(*(at.get((k, tuple(a[p + m] for m in mask)), ()) for k, mask in enumerate(masks))):
+            front, behind = min(p, q, 24), min(len(a) - p, len(b) - q, 36)
+            same = [a[p + n] == b[q + n] for n in range(-front, behind)]
+            agreeing = sum(same[front : front + 12])
+            if agreeing >= 10 or sum(same) * 6 >= len(same) * 5:
+                yield -agreeing, -sum(same), len(same), p, q
+
+
+def test_overlaps_are_found_whatever_is_substituted(spark):
     dice, items, docs = random.Random(8), [], []
     for n in range(30):
-        words = fixtures.prose(700 + n, dice.choice([12, 15, 20, 30])).split()
+        words = fixtures.prose(700 + n, dice.choice([12, 15, 20, 30, 70])).split()
         items.append((n, " ".join(words)))
         own = list(words)
-        for k in dice.sample(range(len(own)), dice.randint(1, 4)):
+        for k in dice.sample(range(len(own)), dice.randint(1, 5)):
             own[k] = "other"
-        docs.append((n, " ".join([*fixtures.prose(800 + n, 15).split(), *own]), None))
-    for n, size, places in ((100, 20, (10, 11)), (101, 15, (6, 10))):
+        docs.append((n, " ".join([*fixtures.prose(800 + n, 15).split(), *own, *fixtures.prose(900 + n, dice.choice([0, 40])).split()]), None))
+    for n, size, places in ((100, 20, (10, 11)), (101, 15, (6, 10)), (102, 24, (1, 5, 10, 22)), (103, 30, (0, 1, 2))):
         words = fixtures.prose(n, size).split()
         items.append((n, " ".join(words)))
         docs.append((n, " ".join("other" if k in places else w for k, w in enumerate(words)), None))
+    docs.append((104, " ".join([items[3][1]] * 5), None))
     want = {}
     for d, text, _ in docs:
         for i, item in items:
-            a, b = text.split(), item.split()
-            for p, q in ((p, q) for p in range(len(a) - 11) for q in range(len(b) - 11)):
-                agreeing = sum(x == y for x, y in zip(a[p : p + 12], b[q : q + 12], strict=True))
-                if agreeing >= 10:
-                    want[d, i] = min(want.get((d, i), (0, 0, 0)), (-agreeing, p, q))
+            if found := min(overlaps(text.split(), item.split()), default=None):
+                want[d, i] = found
     got = contaminated(fixtures.documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id): (-r.agreeing, r.doc_at, r.item_at) for r in got.collect()} == want
-    assert {(100, 100), (101, 101)} <= set(want)
+    assert {(r.doc_id, r.item_id): (-r.agreeing, -r.overlap_agreeing, r.overlap, r.doc_at, r.item_at) for r in got.collect()} == want
+    assert {(100, 100), (101, 101), (102, 102), (103, 103), (104, 3)} <= set(want)
+
+
+def test_a_short_item_counts_by_its_whole_overlap(spark):
+    words = fixtures.prose(5, 18).split()
+    changed = [("other" if k in (3, 7, 11) else w) for k, w in enumerate(words)]
+    assert max(sum(x == y for x, y in zip(words[p : p + 12], changed[p : p + 12])) for p in range(7)) == 10
+    spread = [("other" if k in (4, 8, 12) else w) for k, w in enumerate(words)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = contaminated(fixtures.documents(spark, [(1, " ".join(changed), None), (2, " ".join(spread), None)]), items).collect()
+    assert {(r.doc_id, r.overlap, r.overlap_agreeing) for r in got} == {(1, 18, 15), (2, 18, 15)}
 
 
 def test_contamination_plan_has_no_python(spark, folder, capsys):
