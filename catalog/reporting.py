@@ -9,7 +9,7 @@ from ruleloom.operators.dryrun import trace
 from ruleloom.operators.reports import (
     failed, passed, quality_by_field, rule_summary, stored_rule_summary, verdict_trend,
 )
-from ruleloom.operators.sampling import sample_payload, sample_recent
+from ruleloom.operators.sampling import sample_payload, sample_recent, sample_within
 
 from .arrays import _line
 from .cleansing import lines_of_documents
@@ -99,6 +99,16 @@ def sample_recent_events(spark, folder):
     return _recent_events(spark, folder)
 
 
+@query("sample_in_time", f"{_RECENT} ORDER BY r, part LIMIT 100")
+def sample_in_time(spark, folder):
+    """The same sample, one job a partition, with a time limit that is not met here."""
+    events = table(spark, folder, "events").select("event_id", F.expr("CAST(event_id % 13 AS INT)").alias("part"), "user_id", "event_type")
+    sample = sample_within(events, "part", list(range(13)), "event_id", seconds=600)
+    if sample.missing:
+        raise TimeoutError(f"partitions {sample.missing} were not read in time")
+    return sample.rows
+
+
 @query(
     "sample_payload",
     f"""SELECT event_id AS sample_offset, 'events' AS sample_topic, part AS sample_partition,

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ruleloom import Generic, RecordOf, RuleFile, SingleTest, UnionOf, validate
+from ruleloom.functions.sqlfunctions import define
 from ruleloom.sources.rulefiles import parse_rule_file
 
 from .registry import flat, query, table, test, union, verdicts
@@ -219,3 +220,11 @@ def rule_with_udf(spark, folder):
     spark.udf.register("digit_sum", digit_sum)
     rules = RuleFile.of("customer", SingleTest("c_custkey", "even digit sum", "digit_sum(c_custkey) % 2 = 0", "WARN"))
     return flat(validate(table(spark, folder, "customer"), rules), "c_custkey")
+
+
+@query("rule_with_sql_function", test("orders", "o_orderkey", "fair price", "o_totalprice > CASE WHEN o_orderstatus = 'P' THEN 50000 ELSE 1000 END",
+                                      "o_totalprice", "WARN"))
+def rule_with_sql_function(spark, folder):
+    define(spark, "fair_price", {"price": "DOUBLE", "status": "STRING"}, "BOOLEAN", "price > CASE WHEN status = 'P' THEN 50000 ELSE 1000 END")
+    rules = RuleFile.of("orders", SingleTest("o_totalprice", "fair price", "fair_price(o_totalprice, o_orderstatus)", "WARN"))
+    return flat(validate(table(spark, folder, "orders"), rules), "o_orderkey")

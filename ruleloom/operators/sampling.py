@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor, wait
+from dataclasses import dataclass
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..plans.sqltext import quote
@@ -33,6 +39,56 @@ def sample_recent(
     )
 
 
+@dataclass(frozen=True)
+class TimedSample:
+    """A sample that had to be done in time: its rows, and the partitions that were not read to their end."""
+
+    rows: DataFrame
+    missing: list
+
+
+def sample_within(
+    df: DataFrame, partition: str, partitions: list, offset: str, *, seconds: float = 20.0, last: int = 10, max_rows: int = 100, jobs: int = 8
+) -> TimedSample:
+    """The last records of each of the ``partitions``, of those that answer within the time.
+
+    Every partition is read by a job of its own, ``jobs`` at a time, all under one tag.  When the time is up, jobs under that tag are
+    interrupted, other jobs of the session go on.  At most ``last`` rows of a partition reach the driver.  Where ``max_rows`` cuts,
+    every partition gives its newest record before any gives its second.
+    """
+    spark, tag = df.sparkSession, f"sample-{uuid.uuid4().hex}"
+    end, late = time.monotonic() + seconds, False
+
+    def newest(value) -> list[Row]:
+        if late:
+            raise TimeoutError
+        spark.addTag(tag)
+        try:
+            own = df.where(F.col(quote(partition)).eqNullSafe(F.lit(value)))
+            return own.orderBy(F.col(quote(offset)).desc()).limit(last).collect()
+        finally:
+            spark.removeTag(tag)
+
+    pool = ThreadPoolExecutor(max_workers=jobs)
+    asked = {value: pool.submit(inheritable_thread_target(spark)(newest), value) for value in dict.fromkeys(partitions)}
+    try:
+        done, rest = wait(asked.values(), timeout=max(0.0, end - time.monotonic()))
+        late = True
+        while rest:  # a job may have been about to start when the first interrupt came
+            spark.interruptTag(tag)
+            _, rest = wait(rest, timeout=0.2)
+    finally:
+        pool.shutdown(wait=True, cancel_futures=True)
+    found, missing = [], []
+    for value, job in asked.items():
+        if job in done:
+            found += [(n, k, row) for n, row in enumerate(job.result()) for k in [len(found)]]
+        else:
+            missing.append(value)
+    rows = [row for _, _, row in sorted(found, key=lambda f: f[:2])][:max_rows]
+    return TimedSample(spark.createDataFrame(rows, df.schema), missing)
+
+
 def sample_payload(sample: DataFrame, topic: str, partition: str, offset: str, record: list[str] | None = None) -> DataFrame:
     """Offset, topic, partition and the record as JSON text; made after sampling, so only for few rows."""
     columns = record or sample.columns
