@@ -53,29 +53,29 @@ def sample_within(
     """The last records of each of the ``partitions``, of those that answer within the time.
 
     Every partition is read by a job of its own, ``jobs`` at a time, all under one tag.  When the time is up, jobs under that tag are
-    interrupted, other jobs of the session go on.  At most ``last`` rows of a partition reach the driver.  Where ``max_rows`` cuts,
+    cancelled, other jobs of the session go on.  At most ``last`` rows of a partition reach the driver.  Where ``max_rows`` cuts,
     every partition gives its newest record before any gives its second.
     """
     spark, tag = df.sparkSession, f"sample-{uuid.uuid4().hex}"
-    end, late = time.monotonic() + seconds, False
+    context, end, late = spark.sparkContext, time.monotonic() + seconds, False
 
     def newest(value) -> list[Row]:
         if late:
             raise TimeoutError
-        spark.addTag(tag)
+        context.addJobTag(tag)
         try:
             own = df.where(F.col(quote(partition)).eqNullSafe(F.lit(value)))
             return own.orderBy(F.col(quote(offset)).desc()).limit(last).collect()
         finally:
-            spark.removeTag(tag)
+            context.removeJobTag(tag)
 
     pool = ThreadPoolExecutor(max_workers=jobs)
     asked = {value: pool.submit(inheritable_thread_target(spark)(newest), value) for value in dict.fromkeys(partitions)}
     try:
         done, rest = wait(asked.values(), timeout=max(0.0, end - time.monotonic()))
         late = True
-        while rest:  # a job may have been about to start when the first interrupt came
-            spark.interruptTag(tag)
+        while rest:  # a job may have been about to start when others were cancelled
+            context.cancelJobsWithTag(tag)
             _, rest = wait(rest, timeout=0.2)
     finally:
         pool.shutdown(wait=True, cancel_futures=True)
