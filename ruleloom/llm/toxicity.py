@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, stored, text_of, words_of
@@ -213,8 +213,11 @@ def learn(
     spark = session(docs.sparkSession)
     marked = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic")).dropna()
     marked = marked.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("fold", _fold("id")).filter(F.col("fold") != HELD_OUT)
-    order = F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64("id"), "id"))
-    chosen = marked.withColumn("rank", order).filter(F.col("rank") <= sample).drop("rank")
+    # Fold by fold, so that no task sorts more than it keeps; a window over a fold would hold all its labels in one.
+    marked, chosen = stored(marked, "toxicity-labels"), None
+    for f in FOLDS:
+        own = marked.filter(F.col("fold") == f).orderBy(F.xxhash64("id"), "id").limit(sample)
+        chosen = own if chosen is None else chosen.unionByName(own)
     # The sample is bounded by its size, so it may go to every task.
     texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("body")).join(F.broadcast(chosen), "id")
     texts = stored(texts, "toxicity-sample")
