@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import session, stored, text_of, words_of
@@ -63,9 +63,28 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_frequent(counts: DataFrame, wanted: int) -> list[Row]:
+    """The ``wanted`` most frequent words, of equal counts the first ones; no more rows than these reach the driver.
+
+    How many words there are of each count tells the count of the last rank.  All words above it are few enough; of those that have
+    just this count as many as are still wanted are found on the executors.
+    """
+    left, least = wanted, None
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(wanted).collect():
+        least = row["n"]
+        if row["words"] >= left:
+            break
+        left -= row["words"]
+    if least is None:
+        return []
+    above = counts.filter(F.col("n") > least).collect()
+    last = stored(counts.filter(F.col("n") == least).orderBy("word").limit(left), "frequent-words").collect()
+    return sorted(above + last, key=lambda r: (-r["n"], r["word"].encode()))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the counts of all words; the driver gets the frequent words and one row per ending."""
-    ranked = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY + COUNTED).collect()
+    ranked = most_frequent(counts, VOCABULARY + COUNTED)
     frequent, more = ranked[:VOCABULARY], {r["word"]: float(np.log(r["n"])) for r in ranked[VOCABULARY:]}
     ids = {r["word"]: k + 1 for k, r in enumerate(frequent)}
     ending = F.crc32(F.encode(F.expr("right(word, 2)"), "UTF-8")) % ENDINGS
