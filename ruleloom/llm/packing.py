@@ -118,7 +118,7 @@ def best_fit_pack(
     packing is how many pieces there are of each length, a table of ``capacity`` rows at most whatever the input,
     so the driver plans with that alone: per bin a subset-sum bit set over the lengths left finds the fullest
     filling.  A piece's rank among those of its length (tasks before it, then its place in its task) then tells
-    its sequence and offset.  Pieces are joined by task and length, which no hot length or source can skew.
+    its sequence and offset.  Pieces are joined by task and length, both sides sorted, which no hot length or source can skew.
 
     Null and empty texts are one piece of the end id.  Rows that repeat an id are packed each on their own.  Rows without an id
     are packed with a null.  An empty table gives no rows.  Other columns are not read.
@@ -142,7 +142,8 @@ def best_fit_pack(
             sequence[here], offset[here] = row[:, 1] + nth // row[:, 2], row[:, 3] + nth % row[:, 2] * x
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    ranked = cut.join(before, ["part", "length"]).withColumn("at", place("length", F.col("before") + F.col("nth")))
+    # Rows for each task and length are as many as tasks want; how small they are on disk says nothing about their size in memory.
+    ranked = cut.hint("merge").join(before, ["part", "length"]).withColumn("at", place("length", F.col("before") + F.col("nth")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *["ids"] * with_ids)
 
 
