@@ -107,7 +107,7 @@ def write_token_files(
     Texts are shuffled once, by ranges of id, and encoded by the task that writes them; it holds one batch at a time.  A
     task that runs again writes a file of another name, and only files named in the manifest count, so lost
     executors leave nothing behind that is read.  Null texts are empty: their one id is the end.  Rows
-    without an id come first; rows that share an id are ordered by text.  An empty table gives an empty manifest.
+    without an id come first; rows that share an id are ordered by a hash of their text, so that many of them are several tasks.  An empty table gives an empty manifest.
     """
     spark = session(docs.sparkSession)
     folder = folder or scratch(spark, "token-files")
@@ -146,7 +146,8 @@ def write_token_files(
     listed_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
     ordered = (
         docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("body"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+        .withColumn("hash", F.xxhash64("body")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "body")
+        .drop("hash")
     )
     files = stored(ordered.mapInArrow(write, "part long, ids_file string, docs_file string, n_docs long, n_tokens long"), "token-manifest")
     # One row per file: a single small window.
