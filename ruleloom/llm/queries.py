@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import decontamination, toxicity, turn_repair, vector_codes
-from .common import table
+from .common import stored, table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .language_id import identify, learn
@@ -17,7 +17,7 @@ from .pseudo_likelihood import pseudo_likelihood
 from .registry import ORACLES, QUERIES, query
 from .site_templates import main_text
 from .token_file import check_token_files, write_token_files
-from .warc import all_entries, read_records, write_archive
+from .warc import lookup, read_records, write_archive
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -46,8 +46,10 @@ def op4_pseudo_likelihood(spark, folder):
 
 @query("op5_warc_index")
 def op5_warc_index(spark, folder):
-    archive = write_archive(table(spark, folder, "pages"))
-    records = read_records(all_entries(archive), with_payload=False)
+    pages = table(spark, folder, "pages")
+    archive = write_archive(pages)
+    entries = stored(lookup(archive, pages.select(F.coalesce("url", F.lit("")).alias("url"))), "archive-found")
+    records = read_records(entries, with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

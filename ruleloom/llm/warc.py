@@ -11,6 +11,8 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,8 @@ BLOCK = 256
 FILE_BYTES = 1 << 28
 # The lookup sends the first key of every index file, cut to so many characters, to the tasks, so its size is bounded.
 MOST_FILES, KEY_CHARS = 1 << 16, 256
+# Tasks that may look keys up in one index file.
+SHARES = 16
 # Fixed values of the archive format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "key string, page_id long, file string, offset long, length long"
@@ -191,10 +195,14 @@ class IndexFile:
         tail = int.from_bytes(self.source.read_at(8, size - 8), "little")
         self.directory = json.loads(zlib.decompress(self.source.read_at(tail, size - 8 - tail)))
         self.firsts = [d[0] for d in self.directory]
+        self.held: tuple[int, list[list]] | None = None
 
     def block(self, k: int) -> list[list]:
-        _, at, length = self.directory[k]
-        return [json.loads(line) for line in zlib.decompress(self.source.read_at(length, at)).decode().split("\n")]
+        """The last block read is kept: keys looked up in order find their neighbours there."""
+        if self.held is None or self.held[0] != k:
+            _, at, length = self.directory[k]
+            self.held = k, [json.loads(line) for line in zlib.decompress(self.source.read_at(length, at)).decode().split("\n")]
+        return self.held[1]
 
     def find(self, key: str) -> Iterator[list]:
         """All entries of a key: binary search among the blocks, then within them."""
@@ -243,12 +251,13 @@ def lookup(archive: Archive, urls: DataFrame, url_column: str = "url") -> DataFr
     if len(files) > MOST_FILES:
         raise ValueError(f"more than {MOST_FILES} index files")
     files = sorted((r["first_key"], r["index_file"]) for r in files)
-    firsts = [f[0] for f in files]
+    firsts, names = np.array([f[0] for f in files], dtype=object), [f[1] for f in files]
 
-    @F.udf("array<string>")
-    def places(key):
-        cut = key[:KEY_CHARS]
-        return [f[1] for f in files[max(0, bisect_left(firsts, cut) - 1) : bisect_right(firsts, cut)]]
+    @F.pandas_udf("array<string>")
+    def places(key: pd.Series) -> pd.Series:
+        cut = key.str[:KEY_CHARS].to_numpy(dtype=object)
+        begin = np.maximum(np.searchsorted(firsts, cut, side="left") - 1, 0)
+        return pd.Series([names[a:b] for a, b in zip(begin, np.searchsorted(firsts, cut, side="right"), strict=True)])
 
     def read(batches):
         at, run = None, None
@@ -263,7 +272,7 @@ def lookup(archive: Archive, urls: DataFrame, url_column: str = "url") -> DataFr
 
     keys = urls.select(reversed_host_key(F.col(url_column)).alias("key")).distinct()
     placed = keys.select("key", F.explode(places("key")).alias("index_file"))
-    dealt = placed.repartition("index_file", F.pmod(F.xxhash64("key"), F.lit(64)))
+    dealt = placed.repartition("index_file", F.pmod(F.xxhash64("key"), F.lit(SHARES)))
     return dealt.sortWithinPartitions("index_file", "key").mapInArrow(read, ENTRY)
 
 
@@ -287,7 +296,9 @@ def read_records(entries: DataFrame, with_payload: bool = True) -> DataFrame:
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     # Neighbours in a file are read together; a large file is shared by several tasks.  Entries are small and the records are not,
-    # so the number of tasks is the session's and does not shrink with the entries.
-    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # so the number of tasks goes by the records' bytes and is the session's at least.
+    # A task reads some 64 MB of records.
+    size = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 26)))
     dealt = entries.repartition(tasks, "file", F.floor(F.col("offset") / (1 << 22))).sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(read, schema)
