@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows of text that one Arrow batch carries at most; long texts make larger batches than numbers do.
 BATCH_ROWS = 512
+# And bytes, whatever the length of the texts; one longer text is a batch of its own.
+BATCH_BYTES = 1 << 26
 # Everything that is not a letter or a digit separates words.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -20,7 +22,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def session(spark: SparkSession) -> SparkSession:
     """Small Arrow batches for rows with texts, and plans that adapt to skew."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.adaptive.enabled": "true"}
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        "spark.sql.adaptive.enabled": "true",
+    }
     for key, value in wanted.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
