@@ -1,4 +1,4 @@
-"""Worked examples: rules from files, trips with arrays of stops, a skeleton file, Avro schema text."""
+"""Worked examples: sets that stop, arrays whose elements look around, steps, rule files, Avro schema text."""
 
 import json
 
@@ -12,105 +12,88 @@ from ruleloom.plans.audit import AUDIT_TYPE
 from ruleloom.sources.avro_schema import audited_schema, cleansed_name, schema_name, struct_type
 from ruleloom.sources.rulefiles import TopicRule, load_rule_file, parse_rule_file, sample_values
 
-# Keys, "type" names and the values of "iffalse" are the file format: fixed values.
-HIVE_FILE = """{
- "name": "hives.json", "inputsubjectname": "HIVES", "outputsubjectname": null, "sampletopic": null,
- "rulesteps": [{"type": "RuleStep", "fieldname": "weigh and look", "rules": [
-   {"type": "PrimitiveRule", "fieldname": "kilos", "rulename": "plausible weight",
-    "condition": "kilos IS NOT NULL AND kilos BETWEEN 5 AND 120", "iffalse": "WARN"},
-   {"type": "PrimitiveRule", "fieldname": "queen", "rulename": "queen noted",
-    "condition": "coalesce(queen IN ('seen', 'missing'), false)", "iffalse": "FAIL"}]}]}"""
-
-
-@pytest.mark.parametrize(
-    "row, expected, qualities",
+# A meter sends readings of a night; the checks build on each other, so a reading that is out of order is not judged further.
+METER_RULES = TestSet(
+    "kwh", "night reading", "until_failed",
     [
-        ((42.5, "seen"), "PASS", [100, 100]),
-        ((3.0, "missing"), "WARN", [90, 100]),
-        ((42.5, "perhaps"), "FAIL", [100, 0]),
-        ((None, None), "FAIL", [90, 0]),
+        SingleTest("kwh", "counts up", "kwh >= kwh_before"),
+        SingleTest("kwh", "usual use", "kwh - kwh_before <= 20", "WARN"),
+        TestSet("hours", "duration", "all", [
+            SingleTest("hours", "whole hours", "hours = floor(hours)", "PASS", "floor(hours)"), SingleTest("hours", "a night", "hours BETWEEN 4 AND 16"),
+        ]),
+        SingleTest("kwh", "power below the fuse", "(kwh - kwh_before) / hours < 3.7"),
     ],
 )
-def test_hive_file(spark, row, expected, qualities):
-    df = spark.createDataFrame([row], "kilos double, queen string")
-    out = validate(df, parse_rule_file(HIVE_FILE)).first()
-    assert verdict(out) == expected
-    assert [d[3] for d in details(out)] == qualities
-    assert [d[0] for d in details(out)] == ["plausible weight", "queen noted"]
-    assert [d[2] for d in details(out)] == ["kilos", "queen"]
+
+
+@pytest.mark.parametrize("before, kwh, hours, codes, set_verdict", [
+    (100.0, 108.0, 8.0, "counts up=PASS usual use=PASS whole hours=PASS a night=PASS power below the fuse=PASS", "PASS"),
+    (100.0, 99.9, 8.0, "counts up=FAIL", "FAIL"),
+    (100.0, 124.0, 8.0, "counts up=PASS usual use=WARN whole hours=PASS a night=PASS power below the fuse=PASS", "WARN"),
+    (100.0, 119.0, 4.5, "counts up=PASS usual use=PASS whole hours=PASS a night=PASS power below the fuse=FAIL", "FAIL"),
+    (100.0, 101.0, 2.0, "counts up=PASS usual use=PASS whole hours=PASS a night=FAIL", "FAIL"),
+])
+def test_a_set_stops_at_its_first_failure(spark, before, kwh, hours, codes, set_verdict):
+    df = spark.createDataFrame([(before, kwh, hours)], "kwh_before double, kwh double, hours double")
+    for by in ("details", "sets"):
+        out = validate(df, RuleFile.of("meter", METER_RULES), verdict=by).first()
+        assert " ".join(f"{d[0]}={d[1]}" for d in details(out)) == codes
+        assert verdict(out) == set_verdict
+        assert out["hours"] == (int(hours) if "whole hours" in codes else hours)
 
 
 @pytest.fixture(scope="module")
-def trips(spark):
-    schema = "id int, driver string, licence string, garage string, stops array<struct<purpose: string, minutes: int, fee: double>>"
+def tracks(spark):
+    """Points of recorded tracks and the strip of land they are meant to stay in."""
     return spark.createDataFrame(
         [
-            (1, "Ines", "C1", None, [("load", 20, 0.0)]),
-            (2, "Ines", "C1", None, [("break", 45, 1.5), ("swim", 5, None)]),
-            (3, "Ines", "C1", None, None),
-            (4, "Tomas", None, "north", [("LOAD", 30, 2.0), None]),
+            ("loop", 0, 10, [(1, 5), (4, 6), (9, 5), (1, 5)]),
+            ("stray", 0, 10, [(2, 1), (14, 2), (-3, 2)]),
+            ("gap", 0, 10, [(2, 1), None, (3, 1)]),
+            ("none", 0, 10, None),
+            ("still", 3, 3, []),
         ],
-        schema,
+        "name string, west int, east int, points array<struct<x: int, y: int>>",
     )
 
 
-def by_id(df):
-    return {r["id"]: r for r in df.collect()}
-
+def by_name(df):
+    return {r["name"]: r for r in df.collect()}
 
-def test_root_formulas(trips):
-    rules = RuleFile.of(
-        "trip",
-        SingleTest("driver", "driver", "driver IS NOT NULL"),
-        SingleTest("licence", "long licence", "licence IS NOT NULL AND length(licence) > 3"),
-        SingleTest("licence", "either", "licence IS NOT NULL OR garage IS NOT NULL"),
-        SingleTest("licence", "starts loading", "licence IS NOT NULL AND get(stops, 0).purpose <=> 'load'"),
-    )
-    out = by_id(validate(trips, rules))
-    assert [d[1] for d in details(out[1])] == ["PASS", "FAIL", "PASS", "PASS"]
-    assert [d[1] for d in details(out[3])] == ["PASS", "FAIL", "PASS", "FAIL"]
-    assert [d[1] for d in details(out[4])] == ["PASS", "FAIL", "PASS", "FAIL"]
 
+def test_elements_see_their_neighbours_and_the_record(tracks):
+    near = SingleTest("x", "no leap", "i = 0 OR abs({x} - get(points, i - 1).x) <= 5", "WARN")
+    inside = SingleTest("x", "on the strip", "{x} BETWEEN west AND {parent.parent.east}", "PASS", "greatest(west, least(east, {x}))")
+    closed = Generic([SingleTest(None, "closed", "size(points) = 0 OR element_at(points, -1) <=> get(points, 0)", "WARN")])
+    some = tracks.where("name IN ('loop', 'stray', 'still')")
+    out = by_name(validate(some, RuleFile.of("track", ArrayOf("points", [inside, near]), closed)))
+    assert [(d[0], d[1], d[2]) for d in details(out["loop"])] == [
+        (rule, "PASS", f"points[{n}].x") for n in range(4) for rule in ("on the strip", "no leap")
+        if (n, rule) != (3, "no leap")
+    ] + [("no leap", "WARN", "points[3].x"), ("closed", "PASS", None)]
+    assert [p["x"] for p in out["stray"]["points"]] == [2, 10, 0]
+    assert [d[1] for d in details(out["stray"]) if d[0] == "no leap"] == ["PASS", "WARN", "WARN"]  # by the points as they came
+    assert verdict(out["still"]) == "PASS" and details(out["still"]) == [("closed", "PASS", None, 100)]
 
-def purposes():
-    def one(kind, extra=""):
-        return SingleTest("purpose", kind, f"{{purpose}} <=> '{kind}'{extra}")
 
-    return TestSet(
-        "purpose", "known purpose", "until_passes",
-        [one("load", " AND {parent.parent.licence} IS NOT NULL"), one("repair", " AND garage IS NOT NULL"), one("break")],
-    )
+def test_missing_elements_and_arrays_have_no_tests(tracks):
+    out = by_name(validate(tracks, RuleFile.of("track", ArrayOf("points", [SingleTest("y", "low", "{y} < 2", "FAIL", "0")]))))
+    assert details(out["gap"]) == [("low", "PASS", "points[0].y", 100), ("low", "PASS", "points[2].y", 100)]
+    assert out["gap"]["points"][1] is None and out["none"]["points"] is None
+    assert details(out["none"]) == [] and verdict(out["none"]) == "PASS"
+    assert [p["y"] for p in out["loop"]["points"]] == [0, 0, 0, 0] and verdict(out["loop"]) == "FAIL"
 
 
-def test_until_passes_on_elements(trips):
-    rules = RuleFile.of("trip", ArrayOf("stops", [RecordOf(None, [purposes()])]))
-    out = by_id(validate(trips, rules))
-    assert [d[:2] for d in details(out[1])] == [("load", "PASS")]
-    assert details(out[2]) == [
-        ("load", "FAIL", "stops[0].purpose", 0),
-        ("repair", "FAIL", "stops[0].purpose", 0),
-        ("break", "PASS", "stops[0].purpose", 100),
-        ("load", "FAIL", "stops[1].purpose", 0),
-        ("repair", "FAIL", "stops[1].purpose", 0),
-        ("break", "FAIL", "stops[1].purpose", 0),
-    ]
-    assert details(out[3]) == [] and verdict(out[3]) == "PASS"
-
-
-def test_verdict_by_details_and_by_sets(trips):
-    rules = RuleFile.of("trip", ArrayOf("stops", [purposes()]))
-    only = trips.where("id = 2").withColumn("stops", F.slice("stops", 1, 1))
-    assert verdict(validate(only, rules).first()) == "FAIL"
-    assert verdict(validate(only, rules, verdict="sets").first()) == "PASS"
-
-
-def test_lower_case_substitute_in_elements(trips):
-    lower = SingleTest("purpose", "lower", "e.purpose <=> lower(e.purpose)", "PASS", "lower(e.purpose)")
-    out = by_id(validate(trips, RuleFile.of("trip", ArrayOf("stops", [lower]))))
-    assert [a and a["purpose"] for a in out[4]["stops"]] == ["load", None]
-    assert out[4]["stops"][0]["minutes"] == 30 and out[4]["stops"][1] is None
-    assert details(out[4]) == [("lower", "PASS", "stops[0].purpose", 100)]
-    assert out[3]["stops"] is None
+def test_alternatives_are_tried_in_turn(spark):
+    df = spark.createDataFrame([(n, *row) for n, row in enumerate([(50, 50, None), (51, 50, None), (70, 50, "Kim"), (70, 50, None)])],
+                               "id int, counted int, booked int, signed string")
+    rules = RuleFile.of("stock", TestSet("counted", "accepted", "until_passes", [
+        SingleTest("counted", "equal", "counted = booked"), SingleTest("counted", "within two", "abs(counted - booked) <= 2"),
+        SingleTest("counted", "signed off", "signed IS NOT NULL", "WARN"),
+    ]))
+    by_details, by_sets = ([verdict(r) for r in validate(df, rules, verdict=v).orderBy("id").collect()] for v in ("details", "sets"))
+    assert by_details == ["PASS", "FAIL", "FAIL", "FAIL"] and by_sets == ["PASS", "PASS", "PASS", "WARN"]
+    assert [len(details(r)) for r in validate(df, rules).orderBy("id").collect()] == [1, 2, 3, 3]
 
 
 def test_skeleton_file_has_no_tests(spark):
@@ -413,16 +396,20 @@ def test_enclosing_scope_writes_to_the_outer_record(spark):
 
 
 def test_steps_see_earlier_changes(spark):
-    df = spark.createDataFrame([("m",), ("female",)], "gender string")
-    rules = RuleFile(
-        "t",
-        (
-            Step("one", [SingleTest("gender", "standard", "gender IN ('M', 'F')", "PASS", "upper(substring(gender, 1, 1))")]),
-            Step("two", [SingleTest("gender", "known", "gender IN ('M', 'F')")]),
-        ),
+    df = spark.createDataFrame([(1, 212.0, "F"), (2, 30.0, "C"), (3, 500.0, "F"), (4, 1.0, "K")], "id int, heat double, unit string")
+    celsius = [SingleTest("heat", "in C", "unit <> 'F'", "PASS", "round((heat - 32) / 1.8, 1)"), SingleTest("unit", "C", "unit <> 'F'", "PASS", "'C'")]
+    steps = (
+        Step("convert", celsius), Step("judge", [SingleTest("heat", "bearable", "heat <= 100", "WARN"), SingleTest("unit", "known", "unit = 'C'")]),
+        Step("cut", [SingleTest("heat", "at most 100", "heat <= 100", "PASS", "100")]),
     )
-    out = validate(df, rules).collect()
-    assert [(r["gender"], verdict(r), len(details(r))) for r in out] == [("M", "PASS", 2), ("F", "PASS", 2)]
+    out = by_id(validate(df, RuleFile("t", steps)))
+    assert {n: (r["heat"], r["unit"], verdict(r)) for n, r in out.items()} == {
+        1: (100.0, "C", "PASS"), 2: (30.0, "C", "PASS"), 3: (100.0, "C", "WARN"), 4: (1.0, "K", "FAIL")}
+    assert all(len(details(r)) == 5 for r in out.values())
+
+
+def by_id(df):
+    return {r["id"]: r for r in df.collect()}
 
 
 def test_names_with_quotes(spark):
