@@ -8,6 +8,7 @@ restarted job goes on after the last committed batch.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,14 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for checkpoints and results that driver and executors share.
 
     It lies in ``spark.checkpoint.dir``, else in ``spark.sql.streaming.checkpointLocation``, else in the
-    warehouse, which Spark always has; no folder of one machine is made up.
+    warehouse, which Spark always has.  A warehouse on the local disk is refused where executors run on other machines.
     """
     named = (spark.conf.get(key, None) for key in ("spark.checkpoint.dir", "spark.sql.streaming.checkpointLocation"))
-    base = next((b for b in named if b), None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = next((b for b in named if b), None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if urlparse(base).scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {base} is one of each machine")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
