@@ -25,6 +25,7 @@ AROUND, HIDDEN = 2, 16
 ROUNDS, BATCH, RATE = 2, 16_384, 0.1
 # Parameters travel in blocks; models are averaged in two steps, so that no task gets more than so many per block.
 BLOCK, SALTS = 1 << 16, 64
+MOST_ENDINGS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -46,15 +47,31 @@ class Vocabulary:
     prior: np.ndarray
     more: dict[str, float]
 
-    def encode(self, text: str) -> np.ndarray:
-        known, rest = self.ids, len(self.ids) + 1
-        words = _WORD.findall(text.lower())
-        return np.array([known[w] if w in known else rest + ending_class(w) for w in words], dtype="<u2")
-
-    def beyond(self, text: str) -> tuple[float, list[str]]:
-        """Of the words without an own id: the sum of the log counts in ``more``, and the words that are not there."""
-        others = [w for w in _WORD.findall(text.lower()) if w not in self.ids]
-        return sum(self.more.get(w, 0.0) for w in others), [w for w in others if w not in self.more]
+    def read(self, text: str) -> tuple[np.ndarray, float, list[str]]:
+        """The ids of a text's words; of those without an own id, the sum of the log counts in ``more``, and the words that are not there."""
+        words, own, more = _WORD.findall(text.lower()), self.ids.get, self.more
+        ids = np.array([own(w, 0) for w in words], dtype="<u2")
+        known, rare, places, classes = 0.0, [], np.flatnonzero(ids == 0), []
+        for k in places.tolist():
+            word = words[k]
+            ending = word[-2:]
+            found = _ENDINGS.get(ending)
+            if found is None:
+                if len(_ENDINGS) >= MOST_ENDINGS:
+                    _ENDINGS.clear()
+                found = _ENDINGS[ending] = ending_class(word)
+            classes.append(found)
+            log = more.get(word)
+            if log is None:
+                rare.append(word)
+            else:
+                known += log
+        ids[places] = np.array(classes, dtype="<u2") + np.uint16(len(self.ids) + 1)
+        return ids, known, rare
+
+
+# Classes of endings met before, in a worker.
+_ENDINGS: dict[str, int] = {}
 
 
 def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -247,8 +264,8 @@ def pseudo_likelihood(docs: DataFrame, id_column: str = "doc_id", text_column: s
         row = TaskContext.get().partitionId() << 36  # rows are numbered, as ids may repeat or be null
         for batch in batches:
             texts = batch.column("body").to_pylist()
-            ids = [known.value.encode(t).tobytes() for t in texts]
-            more, rare = zip(*map(known.value.beyond, texts)) if texts else ((), ())
+            ids, more, rare = zip(*map(known.value.read, texts)) if texts else ((), (), ())
+            ids = [x.tobytes() for x in ids]
             columns = [
                 pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary()),
                 pa.array(more, pa.float64()), pa.array(rare, pa.list_(pa.string())),
