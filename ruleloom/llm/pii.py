@@ -193,13 +193,14 @@ class Tagger:
     shapes: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
     known: dict[str, int] = field(default_factory=dict)
+    flags: np.ndarray | None = None
 
     def __post_init__(self):
         self.forget()
 
     def forget(self) -> None:
         self.table = np.zeros((3, 1, len(STATES)), np.float32)
-        self.shapes, self.known = {"": 0}, {}
+        self.shapes, self.known, self.flags = {"": 0}, {}, np.ones(1, bool)
 
     def shape_id(self, own: str) -> int:
         if (n := self.shapes.get(own)) is None:
@@ -207,12 +208,14 @@ class Tagger:
             ids = [self.names[f] for f in shape_features(own) if f in self.names]
             if n >= self.table.shape[1]:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
+                self.flags = np.concatenate([self.flags, np.ones_like(self.flags)])
             self.table[:, n] = self.weights[:, ids].sum(1)
+            self.flags[n] = not _SPANNED.search(own)
         return n
 
     def plain(self) -> np.ndarray:
         """For each shape whether it has neither digit nor @."""
-        return np.array([not _SPANNED.search(s) for s in self.shapes])
+        return self.flags
 
     def ids(self, tokens: list[str]) -> list[int]:
         if len(self.shapes) >= KEPT_TOKENS:  # only between batches: all numbers of a batch belong to one table
