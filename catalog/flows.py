@@ -9,9 +9,10 @@ from ruleloom import RuleFile, SingleTest, validate
 from ruleloom.operators.dispatch import validate_dispatched
 from ruleloom.operators.routing import UNDECODABLE, FramedJson, Route, name_schemas, validate_routed
 from ruleloom.sources.records import align, frame, from_json, split_frame, to_json
+from ruleloom.sources.rulefiles import TopicRule
 from ruleloom.streaming.jobs import finish, read_files, with_quarantine, work_folder, write_files
 from ruleloom.streaming.metrics import StreamMetrics, observe_verdicts
-from ruleloom.streaming.topic_job import recent_messages, with_schema
+from ruleloom.streaming.topic_job import plan_topic, recent_messages, with_schema
 
 from .registry import query, table, verdicts
 from .reporting import EVENT_RULES, EVENT_VERDICT
@@ -279,3 +280,22 @@ def stream_quarantine(spark, folder):
     return verdicts(stored, "event_id", "quarantined")
 
 
+
+
+@query("topic_mapping", """SELECT c_custkey AS key, 'customer-' || CASE WHEN c_custkey % 10 = 9 THEN 'held' ELSE 'checked' END AS topic,
+  CAST(c_custkey % 6 AS INTEGER) AS "partition", CASE WHEN c_custkey % 10 = 9 THEN NULL
+    WHEN c_mktsegment = 'FURNITURE' THEN 'FAIL' WHEN c_acctbal < 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM customer""")
+def topic_mapping(spark, folder):
+    """Messages of one topic as rows of another's sink, partition kept; what cannot be decoded goes to a third."""
+    rule = TopicRule("customer", "customer-checked")
+    columns = F.struct("c_custkey", "c_acctbal", "c_mktsegment")
+    body = F.when(F.col("c_custkey") % 10 == 9, F.lit("{")).otherwise(F.to_json(columns))
+    messages = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").cast("binary").alias("key"), frame(F.lit(4), body.cast("binary")).alias("value"),
+        (F.col("c_custkey") % 6).cast("int").alias("partition"), F.lit(rule.input_topic).alias("topic"))
+    codec = FramedJson({4: ("customer", CUSTOMER_TYPE)}, {"customer": 5})
+    rows = plan_topic(
+        messages, rule, {"customer": Route(CUSTOMER_RULES, CUSTOMER_TYPE)}, {4: "customer"}, codec, input_partitions=6, output_partitions=6,
+        quarantine_topic="customer-held")
+    verdict = F.get_json_object(codec.text(F.col("value")), "$.__audit.__transformresult")
+    return rows.select(F.col("key").cast("string").cast("long").alias("key"), "topic", "partition", verdict.alias("verdict"))
