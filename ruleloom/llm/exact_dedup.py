@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, session, sieve, stored, text_of
+from .common import fine_sieve, passes_fine, session, sieve_bits, stored, text_of
+
 
-SIEVE_BITS = 1 << 22
+def _sieved(keys: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be among the keys; the sieve has 16 bits for each of them, up to 8 MB."""
+    keys = stored(keys, "dedup-keys")
+    size = sieve_bits(keys.count())
+    bits = stored(fine_sieve(keys, "key", size), "dedup-sieve").scalar()
+    return lambda hashed: passes_fine(bits, hashed, size)
 
 
 def exact_dedup(
@@ -17,7 +25,7 @@ def exact_dedup(
 
     Texts are equal if all their bytes are; of equal texts the one with the largest id stays.  A first
     pass reads lengths and prefix hashes; only groups of the same length *and* prefix have their whole
-    content hashed, in a second pass.  Two fixed-size sieves carry the surviving groups to the tasks, so no
+    content hashed, in a second pass.  Two sieves of bounded size carry the surviving groups to the tasks, so no
     text is ever shuffled: what moves is one narrow row per document.  Counts are combined before they are
     shuffled, and joins on hash read stored tables on both sides, so that a group with a third of all rows
     is split over many tasks.  Each row keeps its own length and hash and meets its group by them, whatever its id.
@@ -32,15 +40,10 @@ def exact_dedup(
     n, prefix = F.octet_length(body).cast("long"), F.xxhash64(F.substring(body, 1, prefix_chars))
 
     first = stored(slim.select(n.alias("n"), prefix.alias("prefix")), "dedup-lengths")
-    lengths = first.groupBy("n").count().filter("count > 1").select(F.xxhash64("n").alias("key"))
-    by_length = sieve(lengths, "key", SIEVE_BITS).scalar()
-    groups = (
-        first.filter(passes(by_length, F.xxhash64("n"), SIEVE_BITS))
-        .groupBy("n", "prefix").count().filter("count > 1")
-        .select(F.xxhash64("n", "prefix").alias("key"))
-    )
-    bits = stored(sieve(groups, "key", SIEVE_BITS), "dedup-sieve").scalar()
-    full = F.when(passes(bits, F.xxhash64(n, prefix), SIEVE_BITS), F.unhex(F.sha2(body, 256)))
+    by_length = _sieved(first.groupBy("n").count().filter("count > 1").select(F.xxhash64("n").alias("key")))
+    groups = first.filter(by_length(F.xxhash64("n"))).groupBy("n", "prefix").count().filter("count > 1")
+    by_prefix = _sieved(groups.select(F.xxhash64("n", "prefix").alias("key")))
+    full = F.when(by_prefix(F.xxhash64(n, prefix)), F.unhex(F.sha2(body, 256)))
     digest = [] if digest_column is None else [F.sha2(body, 256).alias("digest")]
     rows = stored(slim.select("doc_id", n.alias("n"), full.alias("full"), *digest), "dedup-hashes")
 
