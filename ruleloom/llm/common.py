@@ -79,27 +79,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def sieve(hashes: DataFrame, key: str, bits: int = 1 << 20) -> DataFrame:
-    """One row with one array of ``bits``/64 longs, in which each hash sets one bit.
-
-    Its size is fixed whatever the number of hashes, so it can go to every task.  It lets through all
-    that was put in, and others the more the fuller it is: exact work has to follow.
-    """
-    slots = bits // 64
-    key_slot = F.pmod(F.col(key), F.lit(slots)).cast("long")
-    one = F.expr(f"shiftleft(1L, cast(pmod(shiftright(`{key}`, 40), 64) as int))")
-    filled = hashes.select(key_slot.alias("slot"), one.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bit"))
-    every = hashes.sparkSession.range(0, slots, 1, 1).withColumnRenamed("id", "slot")
-    dense = every.join(filled, "slot", "left").select("slot", F.coalesce("bit", F.lit(0)).alias("bit"))
-    return dense.agg(F.array_sort(F.collect_list(F.struct("slot", "bit"))).alias("all")).select(F.col("all.bit").alias("bits"))
-
-
-def passes(bits: Column, key: Column, size: int = 1 << 20) -> Column:
-    """Whether a hash may be in the sieve; ``bits`` is the array of ``sieve``, of ``size`` bits."""
-    word = F.get(bits, F.pmod(key, F.lit(size // 64)).cast("int"))
-    return F.getbit(word, F.pmod(F.shiftright(key, 40), F.lit(64)).cast("int")) == 1
-
-
 def _three_bits(key: Column) -> Column:
     """A long with the bits that a hash sets in its word of a fine sieve; the word is told by the hash's lowest bits."""
     def bit(n: int) -> Column:
@@ -109,7 +88,11 @@ def _three_bits(key: Column) -> Column:
 
 
 def fine_sieve(hashes: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
-    """Like ``sieve``, with three bits for each hash: of others, it lets through far fewer."""
+    """One row with one array of ``bits``/64 longs, in which each hash sets three bits of one long.
+
+    Its size is fixed whatever the number of hashes, so it can go to every task.  It lets through all
+    that was put in, and others the more the fuller it is: exact work has to follow.
+    """
     slots = bits // 64
     slot = F.col(key).bitwiseAND(F.lit(slots - 1).cast("long"))
     filled = hashes.select(slot.alias("slot"), _three_bits(F.col(key)).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bit"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, session, sieve, stored, text_of, word_hashes
+from .common import fine_sieve, passes_fine, session, stored, text_of, word_hashes
 from .components import components
 
 GRAM = 5
@@ -184,8 +184,8 @@ def ngram_join(
     each = nodes.select("node", "marks", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
     each = each.filter(mark != F.unhex(F.lit("00" * 8))).select("node", "band", F.xxhash64("band", mark).alias("bucket"))
     full = each.groupBy("bucket").count().filter("count > 1").select("bucket")
-    bits = stored(sieve(full, "bucket", SIEVE_BITS), "join-sieve").scalar()
-    likely = stored(each.filter(passes(bits, F.col("bucket"), SIEVE_BITS)), "join-likely")
+    bits = stored(fine_sieve(full, "bucket", SIEVE_BITS), "join-sieve").scalar()
+    likely = stored(each.filter(passes_fine(bits, F.col("bucket"), SIEVE_BITS)), "join-likely")
     # The sieve lets single nodes through: the counts are taken again, and of buckets with the same members the first band's stays.
     buckets = (
         likely.groupBy("bucket", "band")
@@ -202,8 +202,8 @@ def ngram_join(
     # One document of each node in a bucket is read again: the one with the node's smallest id.
     wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node")
     wanted = wanted.select(F.xxhash64("node", "least").alias("key"))
-    named = stored(sieve(wanted, "key", NODE_SIEVE_BITS), "join-sieve").scalar()
-    again = slim.filter(passes(named, F.xxhash64("node", "doc_id"), NODE_SIEVE_BITS)).select("node", "word")
+    named = stored(fine_sieve(wanted, "key", NODE_SIEVE_BITS), "join-sieve").scalar()
+    again = slim.filter(passes_fine(named, F.xxhash64("node", "doc_id"), NODE_SIEVE_BITS)).select("node", "word")
     grams = stored(again.mapInArrow(expand, "node long, grams binary").withColumn("tag", F.monotonically_increasing_id()), "join-grams")
     # Repeated rows of one id give the same n-grams twice; one of them counts.
     once = grams.groupBy("node").agg(F.min(F.struct("tag", (F.length("grams") / 8).alias("weight"))).alias("one"))
