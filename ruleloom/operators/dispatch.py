@@ -46,6 +46,8 @@ def validate_dispatched(
     and validated, below ``path`` (a new folder unless given) in ``dealt``, which is removed at the end, and ``done``; ``part`` names a folder
     in each, whose former content is replaced.  So many ``jobs`` run side by side.  The first failing one ends the call.
     """
+    if ROUTE in df.columns:
+        raise ValueError(f"there is a column {ROUTE!r} already")
     spark = df.sparkSession
     base = path or work_folder(spark, "dispatched")
     dealt_to, done_to = (f"{base}/{kind}/{part}".rstrip("/") for kind in ("dealt", "done"))
