@@ -7,7 +7,9 @@ table of names, parsed once, and meets only its own rules, however many routes t
 
 from __future__ import annotations
 
+import threading
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +60,14 @@ def validate_dispatched(
     _remove(spark, done_to)
     kinds = validate_routed(df.limit(0), {}, schema_column=schema_column, payload=payload, flag=flag, error_column=error_column, **options).schema
 
+    # Permissive formulas are analysed under another setting of the session, so by one thread at a time; they run side by side.
+    planning = threading.Lock() if options.get("mode") == "permissive" else nullcontext()
+
     def one(number: int) -> None:
         own = spark.read.schema(df.schema).parquet(f"{dealt_to}/{ROUTE}={number}")
         chosen = {names[number]: routes[names[number]]} if number != OTHERS else {}
-        done = validate_routed(own, chosen, schema_column=schema_column, payload=payload, flag=flag, error_column=error_column, **options)
+        with planning:
+            done = validate_routed(own, chosen, schema_column=schema_column, payload=payload, flag=flag, error_column=error_column, **options)
         done.write.mode("overwrite").parquet(f"{done_to}/{ROUTE}={number}")
 
     with ThreadPoolExecutor(max_workers=jobs) as pool:

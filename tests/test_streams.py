@@ -174,10 +174,10 @@ def routes(kinds):
 
 
 def test_dispatch_equals_routing(spark):
-    df = mixed(spark, 6)
+    df, ansi = mixed(spark, 6), spark.conf.get("spark.sql.ansi.enabled")
     for options in ({"flag": "routed"}, {"mode": "permissive", "error_column": "errors"}):
         got, want = (sorted(map(str, f(df, routes(6), **options).collect())) for f in (validate_dispatched, validate_routed))
-        assert got == want
+        assert got == want and spark.conf.get("spark.sql.ansi.enabled") == ansi
     assert validate_dispatched(df.limit(0), routes(6)).columns == df.columns
     assert validate_dispatched(df.limit(0), routes(6)).count() == 0
     assert validate_dispatched(df, {}).count() == 200
