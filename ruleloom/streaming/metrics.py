@@ -24,7 +24,7 @@ def observe_verdicts(df: DataFrame, name: str = OBSERVED) -> DataFrame:
 
 @dataclass
 class StreamStatus:
-    """Totals over all batches of one query."""
+    """Totals over all batches of one query, those without rows too: an empty file of the input makes one."""
 
     rows: int = 0
     batches: int = 0
@@ -70,8 +70,6 @@ class StreamMetrics(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         progress = event.progress
-        if not progress.numInputRows:
-            return
         with self._news:
             status = self._totals.setdefault(str(progress.id), StreamStatus())
             status.batches += 1

@@ -63,6 +63,16 @@ def test_one_failing_job_leaves_the_others(spark, tmp_path):
     assert ids(spark, f"{tmp_path}/out-bad") == [3, 4] and ids(spark, f"{tmp_path}/out-good") == [1, 2, 5]
 
 
+def test_batches_without_rows_count(spark, tmp_path):
+    inbox = Inbox(spark, tmp_path / "in").put().put((1, 1.0)).put().put((2, None))
+    job = file_job("job", lambda s: inbox.read(), f"{tmp_path}/out", f"{tmp_path}/c")
+    with Supervisor(spark, [job]) as supervisor:
+        supervisor.start()
+        supervisor.wait()
+        status = supervisor.status()[0]
+        assert (status.state, status.rows, status.batches, status.failure.batch) == (State.FAILED, 1, 3, 3)
+
+
 def test_stop_and_restart_by_name(spark, tmp_path):
     inbox = Inbox(spark, tmp_path / "in").put((1, 1.0))
     job = file_job("steady", lambda s: inbox.read(), f"{tmp_path}/out", f"{tmp_path}/c", interval="100 milliseconds")
