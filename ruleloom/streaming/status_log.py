@@ -17,7 +17,7 @@ SCHEMA = (
 
 
 class StatusLog(StreamingQueryListener):
-    """Keeps the figures of every batch of all streams of a session; register it before they start.
+    """Keeps the figures of every batch, also without rows, of all streams of a session; register it before they start.
 
     Rows are small files named by query and batch, on the shared file system: a batch that is run again replaces its row, and a
     later session, or another job with the same checkpoint, goes on in the same table.
@@ -46,10 +46,9 @@ class StatusLog(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        if p.numInputRows:
-            self._put(
-                f"batch-{p.batchId}", query_id=str(p.id), run_id=str(p.runId), name=p.name, batch=p.batchId, at=p.timestamp, state=RUNNING,
-                rows=p.numInputRows, busy_ms=p.durationMs.get("triggerExecution", 0), error=None)
+        self._put(
+            f"batch-{p.batchId}", query_id=str(p.id), run_id=str(p.runId), name=p.name, batch=p.batchId, at=p.timestamp, state=RUNNING,
+            rows=p.numInputRows, busy_ms=p.durationMs.get("triggerExecution", 0), error=None)
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         run = str(event.runId)

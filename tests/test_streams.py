@@ -155,6 +155,20 @@ def test_status_rows_go_on_after_a_restart(spark, tmp_path):
     assert [(r["rows"], r["batches"], r["failures"]) for r in total] == [(6, 3, 0)]
 
 
+def test_batches_without_rows_have_a_status_row(spark, tmp_path):
+    inbox = Inbox(spark, tmp_path / "in").put().put((1, 1.0)).put()
+    log = StatusLog(spark, f"{tmp_path}/log")
+    with Supervisor(spark, [file_job("job", lambda s: inbox.read(), f"{tmp_path}/out", f"{tmp_path}/c")]) as supervisor:
+        supervisor.start()
+        supervisor.wait()
+    log.close()
+    assert not log.errors
+    rows = status_rows(spark, f"{tmp_path}/log")
+    batches = rows.filter("batch IS NOT NULL").orderBy("batch").collect()
+    assert [(r["batch"], r["rows"], r["ms_per_row"] is None) for r in batches] == [(0, 0, True), (1, 1, False), (2, 0, True)]
+    assert [(r["rows"], r["batches"]) for r in job_status(rows).collect()] == [(1, 3)]
+
+
 def test_breaks_of_order_are_seen(spark, tmp_path):
     def breaks(rows, name):
         spark.createDataFrame(rows, "p long, at long").coalesce(1).write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/{name}")
