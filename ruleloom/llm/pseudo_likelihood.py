@@ -6,6 +6,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import session, stored, text_of, words_of
+from .common import NOT_WORD, session, stored, text_of
 
 # Words that have an id of their own, and how many of them are a class of their own; all others are classed by their last two letters.
 VOCABULARY, OWN_CLASSES, ENDINGS = 8192, 64, 32
@@ -23,16 +25,26 @@ COUNTED = 65_536
 AROUND, HIDDEN = 2, 16
 # Each round trains on every ROUNDS-th place of every text, beginning one place later, so that all rounds together take every place once.
 ROUNDS, BATCH, RATE = 2, 16_384, 0.1
+# Scores of all classes are held for so many places at once, which fit the cache of a core.
+SLICE = 512
 # Parameters travel in blocks; models are averaged in two steps, so that no task gets more than so many per block.
 BLOCK, SALTS = 1 << 16, 64
 MOST_ENDINGS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
+# The same for texts of ASCII: what is no letter or digit becomes a space.
+_SPACED = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 
 
 def ending_class(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % ENDINGS
 
 
+def cut(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    text = text.lower()
+    return text.translate(_SPACED).split() if text.isascii() else _WORD.findall(text)
+
+
 @dataclass
 class Vocabulary:
     """Ids: 0 is beyond the text, then the words from frequent to rare, then the endings of all other words.
@@ -47,27 +59,32 @@ class Vocabulary:
     prior: np.ndarray
     more: dict[str, float]
 
+    @cached_property
+    def numbers(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """The words of ``ids`` and ``more`` numbered from 1, and by number their ids and, for those of ``more``, log counts; 0 is any other."""
+        first = len(self.ids) + 1
+        numbers = self.ids | {w: first + k for k, w in enumerate(self.more)}
+        ids = np.array([*range(first), *(first + ending_class(w) for w in self.more)], dtype="<u2")
+        return numbers, ids, np.array([0.0] * first + list(self.more.values()))
+
     def read(self, text: str) -> tuple[np.ndarray, float, list[str]]:
         """The ids of a text's words; of those without an own id, the sum of the log counts in ``more``, and the words that are not there."""
-        words, own, more = _WORD.findall(text.lower()), self.ids.get, self.more
-        ids = np.array([own(w, 0) for w in words], dtype="<u2")
-        known, rare, places, classes = 0.0, [], np.flatnonzero(ids == 0), []
+        numbers, id_of, logs = self.numbers
+        words = cut(text)
+        found = np.fromiter(map(numbers.get, words, repeat(0)), np.int32, len(words))
+        ids, rare, places, classes = id_of[found], [], np.flatnonzero(found == 0), []
         for k in places.tolist():
             word = words[k]
             ending = word[-2:]
-            found = _ENDINGS.get(ending)
-            if found is None:
+            known = _ENDINGS.get(ending)
+            if known is None:
                 if len(_ENDINGS) >= MOST_ENDINGS:
                     _ENDINGS.clear()
-                found = _ENDINGS[ending] = ending_class(word)
-            classes.append(found)
-            log = more.get(word)
-            if log is None:
-                rare.append(word)
-            else:
-                known += log
+                known = _ENDINGS[ending] = ending_class(word)
+            classes.append(known)
+            rare.append(word)
         ids[places] = np.array(classes, dtype="<u2") + np.uint16(len(self.ids) + 1)
-        return ids, known, rare
+        return ids, float(logs[found].sum()), rare
 
 
 # Classes of endings met before, in a worker.
@@ -76,7 +93,8 @@ _ENDINGS: dict[str, int] = {}
 
 def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``word, n`` over all texts."""
-    words = docs.select(F.explode(words_of(text_of(text_column))).alias("word"))
+    # Empty pieces go as rows, in compiled code; a filter of the array, as in words_of, is interpreted piece by piece.
+    words = docs.select(F.explode(F.split(F.lower(text_of(text_column)), NOT_WORD)).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,43 +158,76 @@ class Network:
             n = int(np.prod(s))
             self.parts.append(self.flat[at : at + n].reshape(s))
             at += n
-        self.squares = None
+        self.squares = self.cells = None
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         tables, bias, _, _ = self.parts
-        total = tables[0][around[0]] + bias
+        total = tables[0].take(around[0], 0)
+        total += bias
         for k in range(1, 2 * AROUND):
-            total += tables[k][around[k]]
+            total += tables[k].take(around[k], 0)
         return np.tanh(total, out=total)
 
-    def log_classes(self, hidden: np.ndarray) -> np.ndarray:
-        scores = hidden @ self.parts[2] + self.parts[3]
-        scores -= scores.max(1, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(1, keepdims=True))
+    def _scores(self, hidden: np.ndarray) -> np.ndarray:
+        """A row for each class and a column for each place, less the place's largest score."""
+        scores = self.parts[2].T @ hidden.T
+        scores += self.parts[3][:, None]
+        scores -= scores.max(0)
+        return scores
+
+    def log_of(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The log-probability of each place's class."""
+        log = np.empty(len(target), np.float32)
+        for k in range(0, len(target), SLICE):
+            own = target[k : k + SLICE]
+            scores = self._scores(self.hidden(around[:, k : k + SLICE]))
+            log[k : k + SLICE] = scores[own, np.arange(len(own))]
+            log[k : k + SLICE] -= np.log(np.exp(scores, out=scores).sum(0))
+        return log
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         """One step of the mean log-likelihood, scaled per parameter by its past gradients."""
+        tables, *dense = self.parts
         if self.squares is None:
             self.squares = [np.full_like(p, 1e-2) for p in self.parts]
-        hidden = self.hidden(around)
-        gap = -np.exp(self.log_classes(hidden))
-        gap[np.arange(len(target)), target] += 1
-        back = (gap @ self.parts[2].T) * (1 - hidden**2)
-        size = self.shapes[0][1]
-        tables = np.stack([np.stack([np.bincount(a, back[:, h], size) for h in range(HIDDEN)], 1) for a in around])
-        for p, g, s in zip(self.parts, [tables, back.sum(0), hidden.T @ gap, gap.sum(0)], self.squares, strict=True):
-            g = (g / np.sqrt(len(target))).astype(np.float32)
+            self.cells = np.arange(tables[0].size).reshape(tables[0].shape)
+        back, gradients = np.empty((len(target), HIDDEN)), [np.zeros_like(p) for p in dense]
+        for k in range(0, len(target), SLICE):
+            own = target[k : k + SLICE]
+            hidden = self.hidden(around[:, k : k + SLICE])
+            gap = self._scores(hidden)
+            np.exp(gap, out=gap)
+            gap /= -gap.sum(0)
+            gap[own, np.arange(len(own))] += 1
+            part = back[k : k + SLICE]
+            np.multiply((dense[1] @ gap).T, 1 - hidden**2, out=part)
+            for total, more in zip(gradients, (part.sum(0), (gap @ hidden).T, gap.sum(1)), strict=True):
+                total += more.astype(np.float32)
+        scale, weights = np.float32(1 / np.sqrt(len(target))), back.ravel()
+        for table, square, ids in zip(tables, self.squares[0], around, strict=True):
+            sums = np.bincount(self.cells.take(ids, 0).ravel(), weights, table.size).reshape(table.shape)
+            # Ids that are not in the batch have no gradient, so their parameters stay.
+            met = np.flatnonzero(np.bincount(ids, minlength=len(table)))
+            g = sums[met].astype(np.float32) * scale
+            squares = square[met] + g * g
+            square[met] = squares
+            table[met] += RATE * g / np.sqrt(squares)
+        for p, g, s in zip(dense, gradients, self.squares[1:], strict=True):
+            g *= scale
             s += g * g
             p += RATE * g / np.sqrt(s)
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts after each other, and for each place the ids around it; beyond a text's ends they are 0."""
-    gap = np.zeros(AROUND, np.int64)
-    joined = np.concatenate([x for t in texts for x in (gap, t.astype(np.int64))] + [gap])
+def windows(texts: list[np.ndarray], first: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts after each other, and for each place the ids around it; beyond a text's ends they are 0.
+
+    Of all places, those from ``first`` on, one of ``every``.
+    """
+    gap = np.zeros(AROUND, np.uint16)
+    joined = np.concatenate([x for t in texts for x in (gap, t)] + [gap]).astype(np.int64)
     sizes = np.array([len(t) for t in texts])
     starts = np.cumsum(sizes + AROUND) - sizes
-    at = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    at = (np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes))[first::every]
     steps = [k for k in range(-AROUND, AROUND + 1) if k]
     return joined[at], np.stack([joined[at + k] for k in steps])
 
@@ -206,10 +257,10 @@ def train(encoded: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.nda
                 seen, held = seen + len(centre), 0
 
             for batch in batches:
-                centre, around = windows(_ids(batch)) if batch.num_rows else (np.empty(0), np.empty((2 * AROUND, 0)))
+                centre, around = windows(_ids(batch), nth, rounds) if batch.num_rows else (np.empty(0), np.empty((2 * AROUND, 0)))
                 if len(centre):
-                    waiting.append((centre[nth::rounds], around[:, nth::rounds]))
-                    held += len(waiting[-1][0])
+                    waiting.append((centre, around))
+                    held += len(centre)
                 if held >= BATCH:
                     flush()
             if held:
@@ -288,7 +339,7 @@ def pseudo_likelihood(docs: DataFrame, id_column: str = "doc_id", text_column: s
             owner, total = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.zeros(len(texts))
             for k in range(0, len(centre), BATCH):
                 own = centre[k : k + BATCH]
-                log = net.log_classes(net.hidden(around[:, k : k + BATCH]))[np.arange(len(own)), of[own]] + inside[own]
+                log = net.log_of(around[:, k : k + BATCH], of[own]) + inside[own]
                 total += np.bincount(owner[k : k + BATCH], log, len(texts))
             n = np.array([len(t) for t in texts])
             yield pa.RecordBatch.from_arrays(

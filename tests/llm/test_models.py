@@ -232,6 +232,42 @@ def test_windows_do_not_cross_texts():
     assert around.T.tolist() == [[0, 0, 6, 7], [0, 5, 7, 0], [5, 6, 0, 0], [0, 0, 0, 0]]
 
 
+def test_windows_only_of_the_places_asked_for():
+    centre, around = pseudo_likelihood.windows([np.array([5, 6, 7]), np.array([8], "<u2")], 1, 2)
+    assert centre.tolist() == [6, 8] and around.T.tolist() == [[0, 5, 7, 0], [0, 0, 0, 0]]
+
+
+@pytest.mark.parametrize("text", ["A_b  c9\x1f\x85d\n_", "", "Stra\u00dfe_\u0130x 9\u00b2 \u4e2d\u6587", "x\x00y-Z"])
+def test_words_are_cut_as_by_the_pattern(text):
+    assert pseudo_likelihood.cut(text) == re.findall(r"[^\W_]+", text.lower())
+
+
+def test_steps_equal_plain_ones():
+    random = np.random.default_rng(5)
+    size, n, classes = 40, 2 * pseudo_likelihood.SLICE + 7, 6
+    net = pseudo_likelihood.Network(size, np.log(np.full(classes, 1 / classes)))
+    plain = [p.astype(float) for p in net.parts]
+    squares = [np.full_like(p, 1e-2) for p in plain]
+    for _ in range(3):
+        around, target = random.integers(0, size // 2, (2 * pseudo_likelihood.AROUND, n)), random.integers(0, classes, n)
+        tables, bias, weights, offset = plain
+        hidden = np.tanh(sum(t[a] for t, a in zip(tables, around)) + bias)
+        scores = hidden @ weights + offset
+        log = scores - np.log(np.exp(scores).sum(1, keepdims=True))
+        assert net.log_of(around, target) == pytest.approx(log[np.arange(n), target], abs=1e-4)
+        gap = np.eye(classes)[target] - np.exp(log)
+        back = gap @ weights.T * (1 - hidden**2)
+        sums = np.zeros_like(tables)
+        for table, ids in zip(sums, around):
+            np.add.at(table, ids, back)
+        for p, g, q in zip(plain, [sums, back.sum(0), hidden.T @ gap, gap.sum(0)], squares):
+            q += g**2 / n
+            p += pseudo_likelihood.RATE * g / np.sqrt(n) / np.sqrt(q)
+        net.step(around, target)
+    for got, want in zip(net.parts, plain):
+        assert got == pytest.approx(want, abs=1e-3)
+
+
 # -- web archives ------------------------------------------------------------
 
 
